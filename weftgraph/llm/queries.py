@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query: (module, function, table).
 OPERATORS = {
+    "op2_secret_scan": ("secrets", "op2_secret_scan", "documents"),
     "op5_reshard": ("reshard", "op5_reshard", "documents"),
+    "op6_bpe": ("bpe", "op6_bpe", "documents"),
     "op7_mix": ("mixing", "op7_mix", "documents"),
 }
 
