@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: (module, function, table).
 OPERATORS = {
     "op2_secret_scan": ("secrets", "op2_secret_scan", "documents"),
+    "op3_quality_perplexity": ("quality", "op3_quality", "documents"),
+    "op4_toxicity": ("toxicity", "op4_toxicity", "documents"),
     "op5_reshard": ("reshard", "op5_reshard", "documents"),
     "op6_bpe": ("bpe", "op6_bpe", "documents"),
     "op7_mix": ("mixing", "op7_mix", "documents"),
