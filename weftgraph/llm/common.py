@@ -59,7 +59,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, computed once per word and task; emptied when it grows beyond its bound."""
 
-    LIMIT = 2_000_000
+    LIMIT = 500_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
