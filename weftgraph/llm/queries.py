@@ -15,6 +15,7 @@ OPERATORS = {
     "op6_bpe": ("bpe", "op6_bpe", "documents"),
     "op7_mix": ("mixing", "op7_mix", "documents"),
     "op9_substring_dedup": ("substring", "op9_substring", "documents"),
+    "op10_jaccard_join": ("jaccard", "op10_jaccard", "documents"),
 }
 
 

@@ -15,7 +15,7 @@ lose all their windows; null ids are kept; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +83,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps[keep] + 1) - 1
 
 
-def repeated_cells(docs: DataFrame, width: int, bits: int, together: int = 4_000_000) -> DataFrame:
-    """row, slice and the bitmap of cells that at least two windows fall into, from merged partition sketches."""
+def repeated_cells(docs: DataFrame, hashed: Callable[[list[bytes], WordHashes], np.ndarray], bits: int, together: int = 4_000_000) -> DataFrame:
+    """part (row and slice) and the bitmap of cells that at least two hashes fall into, from merged partition sketches.
+
+    hashed: the 64-bit hashes that a batch of texts counts.
+    """
     span = 1 << max(0, bits - 6)  # cells of one of SLICES slices
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +108,7 @@ def repeated_cells(docs: DataFrame, width: int, bits: int, together: int = 4_000
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "cells", "more"])
 
         for batch in batches:
-            h = _windows(text_bytes(batch.column("text")), width, hashes, FACTORS[:1])[2][0]
+            h = hashed(text_bytes(batch.column("text")), hashes)
             held.append(h)
             n += len(h)
             if n >= together:
@@ -144,16 +147,21 @@ class Repeated:
         return out
 
 
+def sketch_size(docs: DataFrame) -> tuple[int, int]:
+    """About how many words the texts have, by their bytes, and the bits of a cell's number: both only size things."""
+    words = max(1, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+    return words, min(MOST_BITS, max(12, (2 * words).bit_length()))
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """group, rids, starts: the windows (document's rid, first word) whose word sequence starts elsewhere too.
 
     docs: numbered(); rids and starts are packed arrays.
     """
     spark = docs.sparkSession
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    windows = max(1, total // 6)  # an estimate that only sizes the sketch and the buckets
-    bits = min(MOST_BITS, max(12, (2 * windows).bit_length()))
-    repeated = spark.sparkContext.broadcast(Repeated(repeated_cells(docs, width, bits).toArrow(), bits))
+    windows, bits = sketch_size(docs)
+    count = lambda texts, hashes: _windows(texts, width, hashes, FACTORS[:1])[2][0]
+    repeated = spark.sparkContext.broadcast(Repeated(repeated_cells(docs, count, bits).toArrow(), bits))
     buckets = max(16, windows // 1_000_000)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
