@@ -14,6 +14,7 @@ OPERATORS = {
     "op5_reshard": ("reshard", "op5_reshard", "documents"),
     "op6_bpe": ("bpe", "op6_bpe", "documents"),
     "op7_mix": ("mixing", "op7_mix", "documents"),
+    "op8_embedding_near_dup": ("embeddings", "op8_embeddings", "embeddings"),
     "op9_substring_dedup": ("substring", "op9_substring", "documents"),
     "op10_jaccard_join": ("jaccard", "op10_jaccard", "documents"),
 }
