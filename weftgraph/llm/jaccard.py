@@ -120,10 +120,9 @@ class SignatureTree:
         _, bitmap, least, most, spare = self.levels[level]
         common = np.bitwise_count(bitmap[a] & bitmap[others]).sum(1, dtype=np.int64) + np.minimum(spare[a], spare[others])
         overlap = np.minimum(np.minimum(common, most[a]), most[others])
-        # overlap / (x + y - overlap) >= p, for the smallest sizes x, y >= overlap that the nodes hold
-        sizes = np.maximum(least[a], overlap * 0) + least[others]
+        # overlap / (x + y - overlap) >= p, for the smallest sizes x, y that the nodes hold
         fits = (100 * most[a] >= PERCENT * least[others]) & (100 * most[others] >= PERCENT * least[a])
-        return others[fits & ((100 + PERCENT) * overlap >= PERCENT * sizes)]
+        return others[fits & ((100 + PERCENT) * overlap >= PERCENT * (least[a] + least[others]))]
 
     def links(self, joined: Sets) -> Iterator[tuple[int, int]]:
         """Pairs that link and were not yet in one component; enough of them to give all components."""

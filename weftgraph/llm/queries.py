@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query: (module, function, table).
 OPERATORS = {
+    "op1_suffix_array_dedup": ("suffix", "op1_suffix_array", "documents"),
     "op2_secret_scan": ("secrets", "op2_secret_scan", "documents"),
     "op3_quality_perplexity": ("quality", "op3_quality", "documents"),
     "op4_toxicity": ("toxicity", "op4_toxicity", "documents"),
