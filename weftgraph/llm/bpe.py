@@ -228,22 +228,23 @@ def op6_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, lang, n_tokens and the ids themselves."""
+    """doc_id, lang, source, n_tokens, the ids themselves, and the digest of the text that they decode to."""
     spark = docs.sparkSession
     rows_per_batch(spark, 2000)
     spec = _spec(spark, path)
-    schema = "doc_id long, lang string, source string, n_tokens long, ids array<int>"
+    schema = "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value)
         for batch in batches:
             parts = [np.frombuffer(x, "<i4") for x in encoder.encode(batch.column("text").to_pylist())]
+            decoded = [hashlib.sha256(encoder.decode(x.tobytes()).encode()).hexdigest() for x in parts]
             n = [len(x) for x in parts]
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array(n, pa.int64()), ids],
-                ["doc_id", "lang", "source", "n_tokens", "ids"],
+                [*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array(n, pa.int64()), ids, pa.array(decoded, pa.string())],
+                ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"],
             )
 
     return docs.select(docs["doc_id"].cast("long"), "lang", "source", "text").mapInArrow(run, schema)
