@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import U64, WordHashes, materialize, rows_per_batch, sequence_starts, text_bytes, windows_hash
 from .components import Sets, components
@@ -48,7 +48,8 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (of the set), tokens and items: the prefix tokens and the whole set, packed, of candidates only."""
+    """doc_id, n, key (of the set); of candidates only: first, how many of the tokens belong to the prefix, tokens, the
+    shingles that may lie in other documents, and items, the whole set, both packed."""
     spark = docs.sparkSession
     rows_per_batch(spark, 1024)
     _, bits = sketch_size(docs)
@@ -64,33 +65,37 @@ def document_sets(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(text_bytes(batch.column("text")), hashes)
             cuts = sequence_starts(np.fromiter(map(len, sets), np.int64, len(sets))).tolist()
             every = repeated.value.may(np.concatenate([*sets, np.empty(0, U64)]))
-            tokens, items = [], []
+            firsts, tokens, items = [], [], []
             for s, a, b in zip(sets, cuts, cuts[1:]):
                 may = every[a:b]
                 first = len(s) - -(-PERCENT * len(s) // 100) + 1 - int((~may).sum()) if len(s) else 0
-                tokens.append(s[may][:first].tobytes() if first > 0 and may.any() else None)
-                items.append(s.tobytes() if tokens[-1] else None)
+                firsts.append(first if first > 0 and may.any() else None)
+                tokens.append(s[may].tobytes() if firsts[-1] else None)
+                items.append(s.tobytes() if firsts[-1] else None)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, tokens, items))],
-                ["doc_id", "n", "key", "tokens", "items"],
+                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.int64()),
+                 pa.array(tokens, pa.binary()), pa.array(items, pa.binary())],
+                ["doc_id", "n", "key", "first", "tokens", "items"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, key binary, tokens binary, items binary"
+        run, "doc_id long, n long, key binary, first long, tokens binary, items binary"
     )
 
 
 def _exploded(table: DataFrame) -> DataFrame:
-    """id, token for each prefix token."""
+    """id, n, first and token for each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
-            ids = np.repeat(batch.column("id").to_numpy(), list(map(len, parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], ["id", "token"])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, parts))))
+            tokens = pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), tokens], [*names, "token"])
 
-    return table.select("id", "tokens").mapInArrow(run, "id long, token long")
+    names = ["id", "n", "first"]
+    return table.select(*names, "tokens").mapInArrow(run, "id long, n long, first long, token long")
 
 
 class SignatureTree:
@@ -170,10 +175,18 @@ def _unit_links(table: pa.Table) -> pa.Table:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """classes: id, tokens, items.  Pairs of ids that link: enough of them to give all components."""
+    """classes: id, n, first, tokens, items.  Pairs of ids that link: enough of them to give all components."""
+    # Rare tokens first: the order is the same for all classes, and those in one class only need no partner.
     tokens = _exploded(classes)
-    least = tokens.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
-    near = components(tokens.join(least, "token").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")), "near")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("k")), "token")
+    place = F.row_number().over(W.partitionBy("id").orderBy("k", "token"))
+    prefix = counted.withColumn("place", place).where("place <= first and k > 1").select("id", "n", "token")
+    # Linked sizes differ by a factor of 100 / PERCENT at most: they share one of two neighbouring bands.
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
+    prefix = materialize(prefix.withColumn("band", F.explode(F.array(band, band + 1))).drop("n"), "prefix")
+    least = prefix.groupBy("token", "band").agg(F.min("id").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
+    pairs = prefix.join(least, ["token", "band"]).where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    near = components(pairs.distinct(), "near")
     place = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
     place = place.join(place.groupBy("component").agg(F.count("*").alias("size")), "component")
     units = F.greatest(F.lit(1), F.ceil(F.lit(place.count() / UNIT))).cast("int")
@@ -195,10 +208,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = materialize(document_sets(docs), "shingles")
     some = rows.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.max("tokens").alias("tokens"), F.max("items").alias("items")
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("tokens").alias("tokens"), F.max("items").alias("items")
     )
     classes = materialize(some.where("id is not null"), "classes")
-    found = components(links(classes.where("tokens is not null").select("id", "tokens", "items")), "links")
+    found = components(links(classes.where("tokens is not null").select("id", "n", "first", "tokens", "items")), "links")
     names = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component_id")
     )
