@@ -184,17 +184,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             base = rid.min()
             order = np.argsort(bucket, kind="stable")
             key, low, many, bucket, first = key[order], low[order], many[order], bucket[order], first[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            some, cuts = np.unique(bucket, return_index=True)
             rows = []
             known = np.flatnonzero(sure)
-            for b in range(buckets):
-                part = slice(cuts[b], cuts[b + 1])
-                own = known[b::buckets]  # decided windows only pass through: they are dealt out evenly
-                if cuts[b] < cuts[b + 1] or len(own):
-                    f = first[part]
-                    rows.append((b, int(base), key[part].tobytes(), low[part].tobytes(), many[part].tobytes(),
-                                 (rid[f] - base).astype(np.uint32).tobytes(), start[f].astype(np.uint32).tobytes(),
-                                 (rid[own] - base).astype(np.uint32).tobytes(), start[own].astype(np.uint32).tobytes()))
+            for k, (b, i, j) in enumerate(zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])):
+                part, own = slice(i, j), known[k :: len(some)]  # decided windows only pass through: dealt evenly
+                f = first[part]
+                rows.append((b, int(base), key[part].tobytes(), low[part].tobytes(), many[part].tobytes(),
+                             (rid[f] - base).astype(np.uint32).tobytes(), start[f].astype(np.uint32).tobytes(),
+                             (rid[own] - base).astype(np.uint32).tobytes(), start[own].astype(np.uint32).tobytes()))
             kinds = (pa.int64(), pa.int64()) + (pa.binary(),) * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 

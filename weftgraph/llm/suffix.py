@@ -29,11 +29,24 @@ from .common import U64, expand, rows_per_batch, sequence_starts, text_bytes, wi
 from .substring import FACTORS, GROUP, MOST_BITS, Repeated, numbered, repeated_cells
 
 LENGTH, ANCHOR = 100, 32
-#: Windows of one stretch at most; bytes of input for each bucket.
-STRETCH, BUCKET = 512, 6_000_000
+#: Windows of one stretch at most; bytes of input for each bucket; bytes that are hashed together.
+STRETCH, BUCKET, TOGETHER = 512, 2_000_000, 1 << 20
 
 
 def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_stretches() of the texts, some at a time: the arrays over bytes stay small."""
+    parts, first, start, upto = [], 0, 0, 0
+    for i, text in enumerate([*texts, None]):
+        upto += len(text or b"")
+        if text is None or upto - start >= TOGETHER:
+            last = i if text is None else i + 1
+            raw, doc, at, size, anchor, again = _stretches(texts[first:last], length)
+            parts.append((doc + first, at + start, size, anchor, again))
+            first, start = last, upto
+    return b"".join(texts), *map(np.concatenate, zip(*parts))
+
+
+def _stretches(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined texts and, of each stretch: its text's number, offset in the joined texts, bytes, anchor, and whether
     its windows hold the anchor at more than one place, so that they may repeat each other."""
     raw = b"".join(texts)
@@ -116,25 +129,24 @@ def lyndon_groups(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
     part = part[order]
     new = np.ones(len(order), bool)
     new[1:] = part[1:] != part[:-1]
-    depth = 8
-    while True:  # prefixes that agree so far and go on are told apart by their next eight bytes
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(order)))
-        longer = length[order] > depth
-        number = np.repeat(np.arange(len(first)), sizes)
-        again = (np.bincount(number, longer, len(first)) > 0) & (sizes > 1)
-        at = np.flatnonzero(again[number])
+    depth, at = 8, np.arange(len(order))
+    while True:  # prefixes that agree so far, of which one goes on, are told apart by their next eight bytes
+        number = np.cumsum(new[at]) - 1
+        again = (np.bincount(number, length[order[at]] > depth) > 0) & (np.bincount(number) > 1)
+        at = at[again[number]] if len(at) else at
         if not len(at):
             break
-        own = order[at]
+        own, number = order[at], np.cumsum(new[at])
         left = np.clip(length[own] - depth, 0, 8)
         mask = np.where(left >= 8, ~U64(0), ~((~U64(0)) >> (U64(8) * (left % 8).astype(U64))))
         mask[left == 0] = 0
         part = key[np.minimum(places[own] + depth, n)] & mask
-        by = np.lexsort((part, number[at]))
+        by = np.lexsort((part, number))
         order[at], part = own[by], part[by]
-        new[at[1:]] |= (part[1:] != part[:-1]) | (number[at][1:] != number[at][:-1])
+        new[at[1:]] |= part[1:] != part[:-1]
         depth += 8
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(order)))
     group = np.empty(len(order), np.int64)
     group[order] = np.repeat(first, sizes)
     return places, following[places], group
@@ -233,13 +245,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             bucket = (anchor[first] % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             first, bucket = first[by], bucket[by]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            some, cuts = np.unique(bucket, return_index=True)
             rows = []
-            for b in range(buckets):
-                f, s = first[cuts[b] : cuts[b + 1]], sure[b::buckets]  # decided ones only pass through: dealt evenly
-                if len(f) or len(s):
-                    rows.append((b, digest[f].tobytes(), size[f].astype(np.uint32).tobytes(), b"".join([pieces[i] for i in f.tolist()]),
-                                 ids[f].tobytes(), rid[f].tobytes(), start[f].tobytes(), rid[s].tobytes(), start[s].tobytes(), size[s].astype(np.uint32).tobytes()))
+            for k, (b, f) in enumerate(zip(some.tolist(), np.split(first, cuts[1:]))):
+                s = sure[k :: len(some)]  # decided ones only pass through: dealt evenly
+                rows.append((b, digest[f].tobytes(), size[f].astype(np.uint32).tobytes(), b"".join([pieces[i] for i in f.tolist()]),
+                             ids[f].tobytes(), rid[f].tobytes(), start[f].tobytes(), rid[s].tobytes(), start[s].tobytes(), size[s].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(zip(*rows), kinds.values())], list(kinds)
             )
