@@ -2,8 +2,8 @@
 
 Which texts share a 100-byte string is found in two steps.
 
-1. Anchors.  The smallest hash of the 32-byte strings inside a window is the window's anchor: equal windows have equal
-   anchors.  Neighbouring windows with one anchor form a stretch, of about 135 bytes.  A count-min sketch of anchors
+1. Anchors.  The smallest hash of the 24-byte strings inside a window is the window's anchor: equal windows have equal
+   anchors.  Neighbouring windows with one anchor form a stretch, of about 140 bytes.  A count-min sketch of anchors
    drops stretches whose anchor occurs once in the corpus; none that could hold a repeated window is lost.  The others
    are dealt out by anchor, so equal windows meet in one bucket; equal stretches of a batch are sent once.
 2. Suffix array.  A bucket's distinct stretches form one text.  Its suffixes are grouped by their Lyndon prefixes,
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, expand, rows_per_batch, sequence_starts, text_bytes, windows_hash
 from .substring import FACTORS, GROUP, MOST_BITS, Repeated, numbered, repeated_cells
 
-LENGTH, ANCHOR = 100, 32
+LENGTH, ANCHOR = 100, 24
 #: Windows of one stretch at most; bytes of input for each bucket; bytes that are hashed together.
 STRETCH, BUCKET, TOGETHER = 512, 2_000_000, 1 << 20
 
@@ -125,7 +125,7 @@ def lyndon_groups(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
     mask = (~U64(0)) << (U64(8) * U64(8 - np.minimum(length, 8)).astype(U64))
     mask[length >= 8] = ~U64(0)
     part = key[places] & mask
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part)
     part = part[order]
     new = np.ones(len(order), bool)
     new[1:] = part[1:] != part[:-1]
@@ -167,10 +167,18 @@ def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     slot, out = np.arange(m), np.full(m, -1)
 
     def emit(found: np.ndarray) -> None:
+        if len(found) == 1:
+            g = group[found[0]]
+            out[slot[g]] = found[0]
+            slot[g] += 1
+            return
         found = found[np.argsort(group[found], kind="stable")]
         g = group[found]
-        first = np.flatnonzero(np.diff(g, prepend=-1))
-        sizes = np.diff(np.append(first, len(g)))
+        new = np.empty(len(g) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(g[1:], g[:-1], out=new[1:-1])
+        cuts = np.flatnonzero(new)
+        first, sizes = cuts[:-1], cuts[1:] - cuts[:-1]
         out[slot[g] + np.arange(len(g)) - np.repeat(first, sizes)] = found
         slot[g[first]] += sizes
 
