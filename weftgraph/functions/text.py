@@ -157,7 +157,8 @@ def path_distance(a: Column | str, b: Column | str) -> Column:
 def reply_json(text: Column | str) -> Column:
     """The JSON part of a reply: a fenced json block, any fenced block, the outermost braces, or all of it."""
     text = col(text)
-    fenced = lambda mark: F.trim(F.split_part(F.split_part(text, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1)))
+    block = lambda mark: F.split_part(F.split_part(text, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1))
+    fenced = lambda mark: F.regexp_replace(block(mark), r"^\s+|\s+$", "")
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return (
         F.when(F.contains(text, F.lit("```json")), fenced("```json")).when(F.contains(text, F.lit("```")), fenced("```"))

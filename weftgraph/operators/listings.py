@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
+from ..sources.kg_json import flat
 
 
 def _flat(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "type", "data.*", F.col("weights").alias("w"))
+    return flat(nodes).withColumnRenamed("weights", "w")
 
 
 def _n(name: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
+from ..sources.kg_json import flat
 from .pagerank import pagerank
 
 #: Kinds that get weights.
@@ -111,7 +112,7 @@ def package_weights(packages: DataFrame, members: DataFrame, files: DataFrame, e
 
 def node_weights(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """id, type and one `weights` struct for every eligible node of a typed graph, PageRank included."""
-    place = nodes.select("id", "type", "data.*").withColumns({"line": F.col("location.line"), "line_end": F.col("location.lineEnd")})
+    place = flat(nodes).drop("weights").withColumns({"line": F.col("location.line"), "line_end": F.col("location.lineEnd")})
     of = lambda kind: place.where(F.col("type") == kind)
     folder = of("package").select("id", "package_name", F.col("location.file_path").alias("file_path"))
     members = place.where(F.col("type").isin("struct", "function", "interface"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Folders that snapshots leave out.
 IGNORED = (".git", ".hg", ".svn", ".venv", "__pycache__", "build", "dist", "env", "node_modules", "venv")
@@ -16,7 +16,7 @@ def is_ignored(relative: Column | str) -> Column:
     return F.exists(folders, lambda p: p.startswith(".") | p.isin(*IGNORED)) | F.element_at(parts, -1).startswith(".")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """UTF-8 with bad bytes dropped."""
     return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"))

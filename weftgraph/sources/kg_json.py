@@ -29,6 +29,12 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.select(F.inline("nodes")), raw.select(F.inline("edges"))
 
 
+def flat(nodes: DataFrame) -> DataFrame:
+    """id, type and the fields of data, whose own type is data_type."""
+    fields = [c for c in nodes.select("data.*").columns if c != "type"]
+    return nodes.select("id", "type", *(f"data.{c}" for c in fields), F.col("data.type").alias("data_type"), "weights")
+
+
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
