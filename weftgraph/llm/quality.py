@@ -143,8 +143,8 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = text_bytes(batch.column("text")), batch.column("lang").to_pylist()
-            code, starts = _codes(texts)
-            last = (code & 0xFF).astype(np.uint8)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            starts = sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)))
             sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[starts])
             logs, by = np.zeros(len(texts)), {}
             for i, lang in enumerate(langs):
@@ -155,7 +155,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 total = np.concatenate(([0.0], np.cumsum(models.value[lang].logs(kinds)[inverse])))
                 logs[rows] = -np.diff(total[cuts]) / np.diff(cuts)
             words, lines, repeats = zip(*map(base_counts, texts))
-            columns = (words, sums(_CHARACTER[last] & (last > 0)), sums(_SYMBOL[last]), lines, repeats, list(map(len, texts)))
+            columns = (words, sums(_CHARACTER[data]), sums(_SYMBOL[data]), lines, repeats, list(map(len, texts)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), *(pa.array(c, pa.int64()) for c in columns), pa.array(logs)],
                 ["doc_id", "lang", *names, "log_perplexity"],
