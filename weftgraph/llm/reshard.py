@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-#: Equal texts share a block and so a shard, unless their block passes WHOLE of a new shard: it is then dealt out by row
-#: in parts of 1/SPLIT of a shard, so that no group of copies decides a shard's size.
-WHOLE, SPLIT = 0.9, 64
+#: Equal texts share a block and so a shard for as long as sizes stay within EVEN of each other.  Where they don't, blocks
+#: above 1/SPLIT of a shard are dealt out by row in parts of that size: no group of copies decides a shard's size.
+EVEN, SPLIT = 0.01, 64
 
 
 @dataclass(frozen=True)
@@ -128,20 +128,24 @@ def plan_reshard(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
     )
     sizes = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()
     total = sum(r.bytes for r in sizes)
+    supply = [0] * layout.old_shards
+    for r in sizes:
+        supply[r.old_shard] += r.bytes
+    capacity = [total * (j + 1) // layout.new_shards - total * j // layout.new_shards for j in range(layout.new_shards)]
     shard = max(1, total // layout.new_shards)
+    whole, fill = {(r.old_shard, r.block): r.bytes for r in sizes}, [0] * layout.new_shards
+    for key, to in place_blocks(list(whole.items()), supply, capacity).items():
+        fill[to] += whole[key]
+    even = max(fill) - min(fill) <= EVEN * shard
     # At most new_shards * SPLIT + one per block: bounded by the layout.
     parts = spark.createDataFrame(
-        [(r.old_shard, r.block, 1 if r.bytes <= WHOLE * shard else -(-r.bytes * SPLIT // shard)) for r in sizes], "old_shard int, block int, parts long"
+        [(*key, 1 if even else max(1, -(-size * SPLIT // shard))) for key, size in whole.items()], "old_shard int, block int, parts long"
     )
     rows = rows.join(F.broadcast(parts), ["old_shard", "block"]).withColumn(
         "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
     )
     keys = ["old_shard", "block", "part"]
     stats = rows.groupBy(*keys).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    supply = [0] * layout.old_shards
-    for r in stats:
-        supply[r.old_shard] += r.bytes
-    capacity = [total * (j + 1) // layout.new_shards - total * j // layout.new_shards for j in range(layout.new_shards)]
     placed = place_blocks([((r.old_shard, r.block, r.part), r.bytes) for r in stats], supply, capacity)
     first, table = [0] * layout.new_shards, []
     for r in sorted(stats, key=lambda r: tuple(r[k] for k in keys)):
