@@ -36,6 +36,12 @@ def edge_id(source, relation, target, rule) -> Column:
     return F.concat(F.lit("edge|"), F.substring(F.sha2(basis, 256), 1, 24))
 
 
+def clean_edge_id(source, relation, target, rule) -> Column:
+    """edge_id() of ids whose parts are sanitized already: only their bars change."""
+    plain = lambda x: F.replace(col(x), F.lit("|"), F.lit("_"))
+    return F.concat(F.lit("edge|"), F.substring(F.sha2(F.concat_ws("|", plain(source), col(relation), plain(target), col(rule)), 256), 1, 24))
+
+
 def document_key(node: Column | str) -> Column:
     """Short key of a stored row."""
     return F.substring(F.sha2(col(node), 256), 1, 48)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import cut
@@ -22,7 +23,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
         return ids.withColumn("page_rank_score", F.lit(0.0))
     pairs = edges.groupBy("source_id", "target_id").agg(F.count("*").alias("k"))
     degree = pairs.groupBy("source_id").agg(F.sum("k").alias("d"))
-    share = cut(pairs.join(degree, "source_id").select("source_id", "target_id", (F.col("k") / F.col("d")).alias("w")))
+    # Kept by source for all rounds, so that a round shuffles scores and sums only; lost blocks come from a short lineage.
+    share = pairs.join(degree, "source_id").select("source_id", "target_id", (F.col("k") / F.col("d")).alias("w"))
+    share = share.repartition("source_id").persist(StorageLevel.MEMORY_AND_DISK)
     scores = ids.withColumn("score", F.lit(1.0 / n))
     for _ in range(rounds):
         got = share.join(scores, share["source_id"] == scores["id"]).groupBy("target_id").agg(F.sum(F.col("w") * F.col("score")).alias("s"))
@@ -34,5 +37,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
         scores = new.select("id", "score")
         if change < epsilon:
             break
+    share.unpersist()
     total = scores.agg(F.sum("score")).first()[0]
     return scores.select("id", (F.col("score") / total).alias("page_rank_score"))

@@ -19,28 +19,32 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
 
 
-def incident(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Edges with an end in the frontier (id)."""
+def touching(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Edges with an end in the frontier (id), twice where both are."""
     ends = edges.withColumn("_end", F.explode(F.array("source_id", "target_id")))
-    return ends.join(frontier, ends["_end"] == frontier["id"], "left_semi").drop("_end").dropDuplicates(["id"])
+    return ends.join(frontier, ends["_end"] == frontier["id"], "left_semi").drop("_end")
+
+
+def incident(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    return touching(edges, frontier).dropDuplicates(["id"])
 
 
 def context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within `hops` (at least one) undirected hops of the seeds (id).
 
-    The edges of hop i + 1 hold those of hop i, so the last hop is the result.  Past PLAIN_HOPS it stops once a hop
-    adds nothing.
+    The edges of hop i + 1 hold those of hop i, so the last hop is the result, and hops before it read the ends of edges
+    only.  Past PLAIN_HOPS it stops once a hop adds nothing.
     """
-    frontier, found, size = seeds.select("id").distinct(), None, -1
-    for hop in range(max(1, hops)):
-        found = incident(edges, frontier)
+    frontier, size = seeds.select("id").distinct(), -1
+    for hop in range(1, max(1, hops)):
+        frontier = endpoints(touching(edges.select("source_id", "target_id"), frontier))
         if hop >= PLAIN_HOPS:
-            found = cut(found)
-            if (now := found.count()) == size:
+            frontier = cut(frontier)
+            if (now := frontier.count()) == size:
                 break
             size = now
-        frontier = endpoints(found)
-    reached = frontier.union(seeds.select("id")).distinct()
+    found = incident(edges, frontier)
+    reached = endpoints(found).union(seeds.select("id")).distinct()
     return nodes.join(reached, "id", "left_semi"), found
 
 

@@ -71,7 +71,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = with_rule(relations(spark, sf_dir))
     return rel.select(
-        ids.edge_id("source_id", "relation_type", "target_id", "rule_id").alias("id"),
+        ids.clean_edge_id("source_id", "relation_type", "target_id", "rule_id").alias("id"),
         F.lit(TENANT).alias("tenant_id"), F.lit(REPO).alias("repo_id"), F.lit(COMMIT).alias("commit_sha"),
         "source_id", "target_id", "relation_type",
         F.struct("extractor_pass", "rule_id", F.array(F.lit(0), F.lit(0)).alias("source_span"), "confidence").alias("provenance"),
