@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def rows_per_batch(spark: SparkSession, n: int) -> None:
     """Arrow batches of at most n rows, so that a worker holds few whole texts at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > n:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= n:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, rows_per_batch, sequence_starts, text_bytes
 
 #: Spreads below and above the median that are still kept, the least spread, and the scatter of a mean over n bytes.
-LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 1.5
+LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 0.7
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _CHARACTER = np.array([(b & 0xC0) != 0x80 for b in range(256)]) & ~_SPACE
