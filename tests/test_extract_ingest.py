@@ -142,3 +142,48 @@ def test_quota_floor():
     q = Quotas({})
     q.release("a")
     assert q.slots["a"] == 0 and Audit().of_tenant("x") == []
+
+
+def test_retries_of_a_source():
+    left, waits = [2], []
+
+    def flaky():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError("again")
+        return "ok"
+
+    assert sources.retried(flaky, sleep=waits.append) == "ok" and waits == [2.0, 2.0]
+    with pytest.raises(OSError):
+        left[0] = 9
+        sources.retried(flaky, attempts=2, sleep=waits.append)
+
+
+def test_reset(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.bootstrap()
+    store.append("deliveries", spark.createDataFrame([("a", "d"), ("a", "d")], "tenant_id string, delivery_id string"))
+    assert [tuple(r) for r in store.broken_keys().collect()] == [("deliveries", 1)]
+    store.bootstrap(reset=True)
+    assert store.read("deliveries").count() == 0
+
+
+def test_every_query_matches_its_sql(spark):
+    """All queries with SQL on the smallest tables, where they are there."""
+    duckdb, path = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(path):
+        pytest.skip("no tables")
+    from weftgraph.plans import catalog
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
+        con.sql(f"create view {t} as select * from '{path}/{t}.parquet'")
+    queries = catalog.queries()
+    show = lambda v: "~" if v is None else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    for name, sql in catalog.oracle_sql().items():
+        df = queries[name](spark, path)
+        names = sorted(df.columns)
+        want = con.sql(sql)
+        assert sorted(want.columns) == names, name
+        rows = want.project(", ".join(f'"{n}"' for n in names)).fetchall()
+        assert sorted(tuple(map(show, r)) for r in df.select(*names).collect()) == sorted(tuple(map(show, r)) for r in rows), name

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, rules, text
-from ..operators import evidence as E, govern, importance, paths, query as Q, schema_rules, traverse as T, weights
+from ..operators import containment, evidence as E, govern, importance, listings, paths, query as Q, schema_rules, traverse as T, weights
 from ..operators.pagerank import pagerank
-from ..sources import tables_graph as G
+from ..sources import dot, kg_json, tables_graph as G
 from ..sources.tables_graph import node_ref, table
+from ..streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -555,3 +556,98 @@ def _constraints(spark, d):
 def _cardinality(spark, d):
     edges = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.lit("CALLS").alias("relation_type"))
     return schema_rules.cardinality(edges, "CALLS", 15)
+
+
+# --- the typed graph: nations as packages, customers as functions, suppliers as structs, parts as interfaces ------
+
+
+def _typed_nodes(spark, d) -> DataFrame:
+    def typed(df, kind, node, weight=None, **data):
+        fields = {"package_name": F.lit(None), **data}
+        struct = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+        return df.select(
+            node.alias("id"), F.lit(kind).alias("type"), F.from_json(struct, kg_json.DATA.split(" ", 1)[1]).alias("data"),
+            F.from_json(F.to_json(F.struct(*(v.alias(k) for k, v in (weight or {}).items()))) if weight else F.lit(None).cast("string"), kg_json.WEIGHTS.split(" ", 1)[1]).alias("weights"))
+
+    t = lambda name: table(spark, d, name)
+    nation = lambda key: F.concat(F.lit("n"), F.col(key))
+    place = F.struct(F.concat(F.lit("/g/r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("file_path"))
+    region = F.struct(F.concat(F.lit("/g/r"), "r_regionkey").alias("file_path"))
+    return (
+        typed(t("region"), "package", F.concat(F.lit("package:r"), "r_regionkey"), package_name=F.concat(F.lit("r"), "r_regionkey"), location=region)
+        .unionByName(typed(t("nation"), "package", F.concat(F.lit("package:n"), "n_nationkey"), {"function_count": F.col("n_nationkey")}, package_name=nation("n_nationkey"), location=place))
+        .unionByName(typed(t("customer"), "function", F.concat(F.lit("function:"), "c_custkey"), {"importance": F.col("c_custkey") % 100, "callee_count": F.col("c_custkey") % 7},
+                           package_name=nation("c_nationkey"), function_name=F.col("c_name"), params=F.col("c_mktsegment")))
+        .unionByName(typed(t("supplier"), "struct", F.concat(F.lit("struct:"), "s_suppkey"), package_name=nation("s_nationkey"), struct_name=F.col("s_name"), is_generic=F.col("s_suppkey") % 2 == 0))
+    )
+
+
+@_query("list_packages", """SELECT 'package:r' || r_regionkey AS id, 'r' || r_regionkey AS package_name, 0 AS function_count FROM region
+  UNION ALL SELECT 'package:n' || n_nationkey, 'n' || n_nationkey, n_nationkey FROM nation""")
+def _list_packages(spark, d):
+    return listings.list_packages(_typed_nodes(spark, d)).select("id", "package_name", "function_count")
+
+
+@_query("list_package_functions", """SELECT 'function:' || c_custkey AS id, rtrim(c_name || '(' || c_mktsegment || ') ') AS signature, (c_custkey % 100)::int AS importance,
+  (c_custkey % 7)::int AS callee_count, 0 AS caller_count, count(*) OVER () AS total FROM customer WHERE c_nationkey = 3""")
+def _list_package_functions(spark, d):
+    return listings.list_package_functions(_typed_nodes(spark, d), "package:n3").drop("location")
+
+
+@_query("list_package_structs", "SELECT 'struct:' || s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 AS is_generic, count(*) OVER () AS total FROM supplier WHERE s_nationkey = 3")
+def _list_package_structs(spark, d):
+    return listings.list_package_structs(_typed_nodes(spark, d), "n3").select("id", "name", "is_generic", "total")
+
+
+@_query("list_subpackages", "SELECT 'package:n' || n_nationkey AS id, 'n' || n_nationkey AS package_name FROM nation WHERE n_regionkey = 2")
+def _list_subpackages(spark, d):
+    return listings.list_subpackages(_typed_nodes(spark, d), "package:r2").select("id", "package_name")
+
+
+@_query("typed_important_nodes", "SELECT 'function:' || c_custkey AS id, 'function' AS type, (c_custkey % 100)::int AS importance FROM customer WHERE c_custkey % 100 >= 90")
+def _typed_important(spark, d):
+    return importance.important_nodes(_typed_nodes(spark, d).select("id", "type", "weights.importance"), 90.5)
+
+
+@_query("call_listing", f"""SELECT '{ID}File|customer/' || o_custkey AS caller, '{ID}Method|orders/' || o_orderkey AS callee, 'calls' AS relation FROM orders
+  UNION ALL SELECT DISTINCT '{ID}Method|orders/' || l_orderkey, '{ID}Class|part/' || l_partkey, 'instantiates' FROM lineitem""")
+def _call_listing(spark, d):
+    return listings.call_listing(_typed_edges(spark, d))
+
+
+@_query("staged_members", """SELECT 'struct:' || s_suppkey AS owner, 'function:' || c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey < 20""")
+def _staged_members(spark, d):
+    own = table(spark, d, "supplier").where("s_suppkey < 20").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
+    edges = own.select(F.concat(F.lit("struct:"), "s_suppkey").alias("source_id"), F.concat(F.lit("function:"), "c_custkey").alias("target_id"), F.lit("has_method").alias("relation_type"))
+    return importance.members(_typed_nodes(spark, d).select("id", "type"), edges, ("has_method",), ("function",)).select("owner", "id")
+
+
+@_query("resolved_calls", f"""WITH f AS (SELECT DISTINCT o_custkey c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END fn, o_orderkey % 9 it FROM orders),
+  j AS (SELECT c, coalesce('f' || a.s_suppkey, 'i' || b.s_suppkey) AS target_id, CASE WHEN a.s_suppkey IS NOT NULL THEN 'function' ELSE 'interface_function' END AS target_type
+    FROM f LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) a ON fn = a.s_suppkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1) b ON it = b.s_suppkey)
+  SELECT DISTINCT 'c' || c AS source_id, target_type, target_id, 'calls' AS relation_type FROM j WHERE target_id IS NOT NULL""")
+def _resolved_calls(spark, d):
+    even = F.col("s_suppkey") % 2 == 0
+    nodes = table(spark, d, "supplier").select(F.concat(F.when(even, "f").otherwise("i"), F.col("s_suppkey")).alias("id"), F.when(even, "function").otherwise("interface_func").alias("type"))
+    facts = table(spark, d, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("caller_id"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("f"), F.col("o_custkey") % 40)).alias("function_id"),
+        F.concat(F.lit("i"), F.col("o_orderkey") % 9).alias("interface_id"), F.lit("calls").alias("relation_type"))
+    return listings.resolve_calls(facts, nodes)
+
+
+@_query("dot_parts", "SELECT n_regionkey, 0 AS part, string_agg('<f' || k || '> ' || n_name, '|' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) GROUP BY 1")
+def _dot_parts(spark, d):
+    return dot.parts(table(spark, d, "nation"), ["n_regionkey"], "n_name", F.col("n_name"))
+
+
+@_query("containment_upsert", "SELECT user_id AS key, arg_max(event_type, event_id) AS v, max(event_id) AS seq FROM events GROUP BY 1")
+def _upsert(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("v"), F.col("event_id").alias("seq"))
+    return containment.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ["key"])
+
+
+@_query("job_transitions", """SELECT event_id, CASE WHEN event_type <> 'error' THEN 'COMPLETED' WHEN event_id % 5 + 1 <= 3 THEN 'RETRYING' ELSE 'FAILED' END AS status, (event_id % 5 + 1)::bigint AS attempts,
+  CASE WHEN event_type = 'error' AND event_id % 5 + 1 <= 3 THEN least(2 ** (event_id % 5 + 1), 8)::int END AS wait_seconds FROM events""")
+def _job_transitions(spark, d):
+    log = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("attempts"), F.lit(3).alias("max_retries"))
+    return ingest.after_attempt(log, F.col("event_type") == "error").select("event_id", "status", "attempts", "wait_seconds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -61,3 +63,14 @@ def modules(files: DataFrame) -> DataFrame:
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     paths = files.where(F.contains("file_path", F.lit("/"))).select(F.explode(prefix).alias("path")).distinct()
     return paths.withColumn("parent", F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
+
+
+def retried(call, attempts: int = 3, delay: float = 2.0, sleep=time.sleep):
+    """call(), again after a delay while it fails, up to `attempts` times: for listings of remote sources."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return call()
+        except Exception:
+            if not left:
+                raise
+            sleep(delay)

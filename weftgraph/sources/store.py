@@ -36,11 +36,11 @@ class SnapshotStore:
         path = jvm.org.apache.hadoop.fs.Path(self._path(table))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def bootstrap(self) -> list[str]:
-        """Create the tables that are missing, and say which."""
-        made = [t for t in SCHEMAS if not self._exists(t)]
+    def bootstrap(self, reset: bool = False) -> list[str]:
+        """Create the tables that are missing, and say which; with reset, all of them, empty."""
+        made = [t for t in SCHEMAS if reset or not self._exists(t)]
         for t in made:
-            writer = self.spark.createDataFrame([], SCHEMAS[t]).write
+            writer = self.spark.createDataFrame([], SCHEMAS[t]).write.mode("overwrite")
             (writer.partitionBy(*KEY) if t in ("nodes", "edges") else writer).parquet(self._path(t))
         return made
 
