@@ -371,3 +371,12 @@ def test_null_ids(spark):
     assert quality.op3_quality(df.withColumn("lang", F.lit("en"))).count() == 4
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.op4_toxicity(df, labels).count() == 4
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from weftgraph.llm import common
+
+    kept = common.materialize(spark.range(5).toDF("x"), "t")
+    assert kept.count() == 5 and common._written
+    common.release(spark)
+    assert not common._written

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import rows_per_batch
 
 #: Distinct words kept per task, and the words of texts that are encoded together.
-CACHE, TOGETHER = 1_500_000, 1_000_000
+CACHE, TOGETHER = 800_000, 500_000
 # The contractions of the tokenizer's own pattern.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Unicode White_Space.

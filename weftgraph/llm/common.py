@@ -26,11 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this driver, once the results that read them are written."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut in the lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +70,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, computed once per word and task; emptied when it grows beyond its bound."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
