@@ -30,7 +30,7 @@ from .substring import FACTORS, Repeated, repeated_cells, sketch_size
 
 SIZE, PERCENT = 5, 80
 #: Classes in a unit, in a leaf and in a node above leaves; bits of a signature.
-UNIT, LEAF, FANOUT, BITS = 2_000, 4, 8, 1 << 14
+UNIT, LEAF, FANOUT, BITS = 512, 4, 8, 1 << 14
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
@@ -48,8 +48,8 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (of the set); of candidates only: first, how many of the tokens belong to the prefix, tokens, the
-    shingles that may lie in other documents, and items, the whole set, both packed."""
+    """doc_id, n, key (of the set); of candidates only: items, the whole set, packed, mask, which of
+    them may lie in other documents, and first, how many of those belong to the prefix."""
     spark = docs.sparkSession
     rows_per_batch(spark, 1024)
     _, bits = sketch_size(docs)
@@ -65,37 +65,38 @@ def document_sets(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(text_bytes(batch.column("text")), hashes)
             cuts = sequence_starts(np.fromiter(map(len, sets), np.int64, len(sets))).tolist()
             every = repeated.value.may(np.concatenate([*sets, np.empty(0, U64)]))
-            firsts, tokens, items = [], [], []
+            firsts, masks, items = [], [], []
             for s, a, b in zip(sets, cuts, cuts[1:]):
                 may = every[a:b]
                 first = len(s) - -(-PERCENT * len(s) // 100) + 1 - int((~may).sum()) if len(s) else 0
                 firsts.append(first if first > 0 and may.any() else None)
-                tokens.append(s[may].tobytes() if firsts[-1] else None)
+                masks.append(np.packbits(may).tobytes() if firsts[-1] else None)
                 items.append(s.tobytes() if firsts[-1] else None)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.int64()),
-                 pa.array(tokens, pa.binary()), pa.array(items, pa.binary())],
-                ["doc_id", "n", "key", "first", "tokens", "items"],
+                 pa.array(masks, pa.binary()), pa.array(items, pa.binary())],
+                ["doc_id", "n", "key", "first", "mask", "items"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, key binary, first long, tokens binary, items binary"
+        run, "doc_id long, n long, key binary, first long, mask binary, items binary"
     )
 
 
 def _exploded(table: DataFrame) -> DataFrame:
-    """id, n, first and token for each token."""
+    """id and token for each item that may lie in other documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, parts))))
-            tokens = pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), tokens], [*names, "token"])
+            parts = []
+            for x, mask in zip(batch.column("items").to_pylist(), batch.column("mask").to_pylist()):
+                item = np.frombuffer(x, np.int64)
+                parts.append(item[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(item)).astype(bool)])
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, parts)))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], ["id", "token"])
 
-    names = ["id", "n", "first"]
-    return table.select(*names, "tokens").mapInArrow(run, "id long, n long, first long, token long")
+    return table.select("id", "mask", "items").mapInArrow(run, "id long, token long")
 
 
 class SignatureTree:
@@ -175,12 +176,13 @@ def _unit_links(table: pa.Table) -> pa.Table:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """classes: id, n, first, tokens, items.  Pairs of ids that link: enough of them to give all components."""
+    """classes: id, n, first, mask, items.  Pairs of ids that link: enough of them to give all components."""
     # Rare tokens first: the order is the same for all classes, and those in one class only need no partner.
     tokens = _exploded(classes)
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("k")), "token")
     place = F.row_number().over(W.partitionBy("id").orderBy("k", "token"))
-    prefix = counted.withColumn("place", place).where("place <= first and k > 1").select("id", "n", "token")
+    placed = counted.withColumn("place", place).where("k > 1")
+    prefix = placed.join(classes.select("id", "n", "first"), "id").where("place <= first").select("id", "n", "token")
     # Linked sizes differ by a factor of 100 / PERCENT at most: they share one of two neighbouring bands.
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     prefix = materialize(prefix.withColumn("band", F.explode(F.array(band, band + 1))).drop("n"), "prefix")
@@ -208,10 +210,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = materialize(document_sets(docs), "shingles")
     some = rows.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("tokens").alias("tokens"), F.max("items").alias("items")
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("mask").alias("mask"), F.max("items").alias("items")
     )
     classes = materialize(some.where("id is not null"), "classes")
-    found = components(links(classes.where("tokens is not null").select("id", "n", "first", "tokens", "items")), "links")
+    found = components(links(classes.where("mask is not null").select("id", "n", "first", "mask", "items")), "links")
     names = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component_id")
     )
