@@ -1,10 +1,13 @@
 """Quality rules: n-gram perplexity bands by language, and base counts.
 
-A modified Kneser-Ney model of byte trigrams is counted in Spark over every document, one model a language, and kept
-as sorted arrays of trigram hashes (three bytes packed into 24 bits, without collisions).  A language has at most
-2^24 trigrams however large the corpus, which bounds what is gathered and broadcast.  A document is kept if it passes
-the base rules and its log-perplexity lies inside its language's band: the median, less `lower` and plus `upper`
-spreads, where median and spread come from all documents of the language that pass the base rules.  A document's own
+A modified Kneser-Ney model of word pairs is counted in Spark over every document, one model a language, in buckets of
+sorted pair hashes whose number grows with the corpus; nothing of it is gathered or broadcast.  A pair counts once for
+each word on its left, and what a document has itself is left out when it is scored, so neither itself nor its copies
+vouch for it.  Words not seen after the word before are spelled by a byte trigram model (24-bit codes, 2^24 entries a
+language at most), which also scores white space.  A document is kept if it passes the base rules, its log-perplexity by
+bytes alone lies inside its language's band (the median, less `lower` and plus `upper` spreads) and that by word pairs is
+not above its own median by more than `upper` spreads; it has no lower bound, as passages that many texts quote are well
+predicted.  Medians and spreads come from all documents of the language that pass the base rules.  A document's own
 length widens its band, since the mean over few bytes scatters more.
 
 Cases: null or empty text has no words and fails; null lang is a language of its own; null ids and repeated rows are
@@ -14,16 +17,23 @@ ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, rows_per_batch, sequence_starts, text_bytes
+from .common import WordHashes, materialize, mix64, rows_per_batch, sequence_starts, text_bytes
 
 #: Spreads below and above the median that are still kept, the least spread, and the scatter of a mean over n bytes.
 LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 0.7
+#: Bytes of text a bucket of word pairs stands for, about.
+BUCKET_BYTES = 16 << 20
+_CHARACTERS = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|[^ \t-\r\xe3-\xed]+|[\xe3-\xed]")
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _CHARACTER = np.array([(b & 0xC0) != 0x80 for b in range(256)]) & ~_SPACE
@@ -76,7 +86,7 @@ class TrigramModel:
     """Sorted trigram codes with log-probabilities, and the dense lower orders to back off to."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
-        order = np.argsort(gram)
+        order, self.n_bytes = np.argsort(gram), int(n.sum())
         self.gram, n = gram[order].astype(np.uint32), n[order].astype(float)
         pairs = np.unique(self.gram & 0xFFFF, return_counts=True)
         continued = np.zeros(65536)
@@ -133,51 +143,188 @@ def base_counts(text: bytes) -> tuple[int, int, int]:
     return len(words), len(lines) - len(set(lines)), repeat
 
 
+def _tokens(text: bytes) -> list[bytes]:
+    """Words; characters of scripts written without spaces stand alone."""
+    return _CHARACTERS.findall(text) if max(text, default=0) > 0xE2 else text.split()
+
+
+def _spelled(model: TrigramModel, words: list[bytes]) -> np.ndarray:
+    """Log-probability of each word's bytes after white space."""
+    data = np.frombuffer(b"  " + b"  ".join(words), np.uint8).astype(np.uint32)
+    starts = sequence_starts(np.fromiter(map(len, words), np.int64, len(words)) + 2)[:-1]
+    total = np.concatenate(([0.0], np.cumsum(model.logs((data[:-2] << 16) | (data[1:-1] << 8) | data[2:]))))
+    return total[starts + np.fromiter(map(len, words), np.int64, len(words))] - total[starts]
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane, compressed."""
+    return zlib.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+
+
+def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    data, sizes, out, at = np.frombuffer(zlib.decompress(blob), np.uint8), [np.dtype(k).itemsize for k in kinds], [], 0
+    n = len(data) // sum(sizes)
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """The number of each combination of keys, in the order of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= np.diff(k[order]) != 0
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def pair_logs(pair: np.ndarray, left: np.ndarray, doc: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct docs, and the log-probability of all their words given the word before.
+
+    pair: hash of the word before in the upper half, of the word in the lower half; all pairs of a word before are here.
+    left: hash of the word before the pair.  A pair counts once for each word on its left, as Kneser-Ney counts
+    continuations, so copies add nothing; what the document itself has is left out, whoever else has it.  The rest of
+    the probability goes to the word's spelling.
+    """
+    docs, d = np.unique(doc, return_inverse=True)
+    kind, triple = _numbered(pair), _numbered(pair, left)
+    once = np.unique(triple, return_index=True)[1]
+    n = np.bincount(kind[once])
+    before = np.empty(len(n), np.int64)
+    before[kind] = _numbered(pair >> np.uint64(32))
+    discounts = _discounts(n)
+    cut = lambda c: np.where(c > 0, discounts[np.clip(c, 1, 3) - 1], 0.0)
+    pairs, first, inverse, times = np.unique(kind * len(docs) + d, return_index=True, return_inverse=True, return_counts=True)
+    own = np.bincount(inverse[np.unique(triple * len(docs) + d, return_index=True)[1]], minlength=len(pairs))
+    kind, d = pairs // len(docs), pairs % len(docs)
+    held = np.unique(before[kind] * len(docs) + d, return_inverse=True)[1]
+    rest = n[kind] - own
+    total = np.bincount(before, n)[before[kind]] - np.bincount(held, own)[held]
+    saved = np.bincount(before, cut(n))[before[kind]] - np.bincount(held, cut(n[kind]) - cut(rest))[held]
+    with np.errstate(divide="ignore"):
+        seen = np.log(np.maximum(rest - cut(rest), 0) / np.maximum(total, 1))
+        back = np.log(np.maximum(saved, 0) / np.maximum(total, 1))
+    logs = np.where(total > 0, np.logaddexp(seen, back + spelled[first]), spelled[first])
+    return docs, np.bincount(d, times * logs, len(docs))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed and log_perplexity of every document."""
+    """doc_id, lang, the base counts, base_failed, log_perplexity by word pairs and log_spelling by bytes of every document.
+
+    Batches send their word pairs to buckets by the word before, buckets return sums by document, and both meet again by
+    batch; the number of buckets grows with the corpus.
+    """
     spark = docs.sparkSession
     rows_per_batch(spark, 2000)
-    models = spark.sparkContext.broadcast(fit(docs))
+    fitted = fit(docs)
+    buckets = max(12, sum(m.n_bytes for m in fitted.values()) // BUCKET_BYTES)
+    models = spark.sparkContext.broadcast(fitted)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes"]
+    out = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names)
+    sent = f"chunk long, bucket long, row int, pairs binary, {out}, logs double, spelling double"
+    arrow = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("row", pa.int32()), ("pairs", pa.binary()), ("doc_id", pa.int64()),
+                       ("lang", pa.string()), *((c, pa.int64()) for c in names), ("logs", pa.float64()), ("spelling", pa.float64())])
+
+    def table(n: int, **columns) -> pa.Table:
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hashes, part_id = WordHashes(), TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             texts, langs = text_bytes(batch.column("text")), batch.column("lang").to_pylist()
             data = np.frombuffer(b"".join(texts), np.uint8)
             starts = sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)))
             sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[starts])
-            logs, by = np.zeros(len(texts)), {}
+            logs, spelling, by, chunk = np.zeros(len(texts)), np.zeros(len(texts)), {}, part_id << 32 | number
             for i, lang in enumerate(langs):
                 by.setdefault(lang, []).append(i)
+            found = []
             for lang, rows in by.items():
                 part, cuts = _codes([texts[i] for i in rows])
                 kinds, inverse = np.unique(part, return_inverse=True)
-                total = np.concatenate(([0.0], np.cumsum(models.value[lang].logs(kinds)[inverse])))
-                logs[rows] = -np.diff(total[cuts]) / np.diff(cuts)
+                between = _SPACE[part & 0xFF]
+                between[cuts[1:] - 1] = True  # bytes of words are scored below
+                bytes_logs = models.value[lang].logs(kinds)[inverse]
+                total = np.concatenate(([0.0], np.cumsum(bytes_logs)))
+                spelling[rows] = -np.diff(total[cuts]) / np.diff(cuts)
+                total = np.concatenate(([0.0], np.cumsum(bytes_logs * between)))
+                logs[rows] = np.diff(total[cuts])
+                tokens = [_tokens(texts[i]) for i in rows]
+                lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                flat = [w for t in tokens for w in t]
+                if not flat:
+                    continue
+                word = hashes.of(flat)
+                _, first, which = np.unique(word, return_index=True, return_inverse=True)
+                spelled = _spelled(models.value[lang], [flat[i] for i in first.tolist()])[which].astype(np.float32)
+                heads = sequence_starts(lengths)[:-1][lengths > 0]
+                before = np.concatenate((word[:1], word[:-1]))
+                before[heads] = 0
+                left = np.concatenate((before[:1], before[:-1]))
+                left[heads] = 0
+                before = mix64(before ^ np.uint64(hashes[b"" if lang is None else b"=" + lang.encode()]))
+                found.append((before, word, left.astype(np.uint32), np.repeat(np.array(rows, np.uint16), lengths), spelled))
             words, lines, repeats = zip(*map(base_counts, texts))
             columns = (words, sums(_CHARACTER[data]), sums(_SYMBOL[data]), lines, repeats, list(map(len, texts)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(pa.array(c, pa.int64()) for c in columns), pa.array(logs)],
-                ["doc_id", "lang", *names, "log_perplexity"],
-            )
+            n = len(texts)
+            yield from table(n, chunk=[chunk] * n, bucket=[chunk % buckets] * n, row=range(n), doc_id=batch.column("doc_id").to_pylist(), lang=langs,
+                             logs=logs, spelling=spelling, **dict(zip(names, columns))).to_batches()
+            if found:
+                before, word, left, row, spelled = map(np.concatenate, zip(*found))
+                low = np.uint64(0xFFFFFFFF)
+                bucket, pair = (before & low) % np.uint64(buckets), (before >> np.uint64(32) << np.uint64(32)) | (word & low)
+                order = np.lexsort((left, pair, bucket))
+                bucket, pair, left, row, spelled = bucket[order], pair[order], left[order], row[order], spelled[order]
+                ids, at = np.unique(bucket, return_index=True)
+                blobs = [_packed(np.diff(pair[a:b], prepend=np.uint64(0)), left[a:b], row[a:b], spelled[a:b]) for a, b in zip(at, [*at[1:], len(bucket)])]
+                yield from table(len(ids), chunk=[chunk] * len(ids), bucket=ids.astype(np.int64), pairs=blobs).to_batches()
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.cast(arrow)
+        sent = group.filter(pc.is_valid(group["pairs"]))
+        rest = group.filter(pc.is_null(group["pairs"]))
+        if not len(sent):
+            return rest
+        parts = [_unpacked(x, np.uint64, np.uint32, np.uint16, np.float32) for x in sent["pairs"].to_pylist()]
+        pair, left, row, spelled = map(np.concatenate, zip(*((np.cumsum(p), x, r.astype(np.int64) | i << 16, s) for i, (p, x, r, s) in enumerate(parts))))
+        docs, logs = pair_logs(pair, left, row, spelled.astype(float))
+        at = np.searchsorted(docs >> 16, np.arange(len(parts) + 1))
+        blobs = [_packed((docs[a:b] & 0xFFFF).astype(np.uint16), logs[a:b].astype(np.float32)) for a, b in zip(at, at[1:])]
+        return pa.concat_tables([rest, table(len(parts), chunk=sent["chunk"].to_pylist(), pairs=blobs)])
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.cast(arrow)
+        rows = group.filter(pc.is_null(group["pairs"])).sort_by("row")
+        logs = rows["logs"].to_numpy().copy()
+        for blob in group["pairs"].drop_null().to_pylist():
+            row, part = _unpacked(blob, np.uint16, np.float32)
+            logs[row] += part
+        logs = -logs / (rows["n_bytes"].to_numpy() + 1)
+        return rows.select(["doc_id", "lang", *names]).append_column("log_perplexity", pa.array(logs)).append_column("log_spelling", rows["spelling"])
 
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, schema).withColumn("base_failed", failed)
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, sent)
+    rows = rows.groupBy("bucket").applyInArrow(score, sent).groupBy("chunk").applyInArrow(gather, f"{out}, log_perplexity double, log_spelling double")
+    return rows.withColumn("base_failed", failed)
 
 
 def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """measured() with each document's band and verdict."""
     rows = materialize(measured(docs), "quality")
-    p = F.percentile_approx("log_perplexity", [0.16, 0.5, 0.84], 10_000)
+    p = lambda c: F.percentile_approx(c, [0.16, 0.5, 0.84], 10_000)
+    spread = lambda q: F.greatest((F.col(q)[2] - F.col(q)[0]) / 2, F.lit(LEAST_SPREAD))
     bands = (
-        rows.where("not base_failed").groupBy("lang").agg(p.alias("q"))
-        .select(F.col("lang").alias("l"), F.col("q")[1].alias("middle"),
-                F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(LEAST_SPREAD)).alias("spread"))
+        rows.where("not base_failed").groupBy("lang").agg(p("log_perplexity").alias("q"), p("log_spelling").alias("s"))
+        .select(F.col("lang").alias("l"), F.col("q")[1].alias("middle"), spread("q").alias("spread"),
+                F.col("s")[1].alias("spelling_middle"), spread("s").alias("spelling_spread"))
     )
-    slack = F.sqrt(F.col("spread") ** 2 + F.lit(SCATTER**2) / F.greatest(F.col("n_bytes"), F.lit(1)))
+    slack = lambda c: F.sqrt(F.col(c) ** 2 + F.lit(SCATTER**2) / F.greatest(F.col("n_bytes"), F.lit(1)))
     rows = rows.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("l")), "left")  # one row a language
-    inside = F.col("log_perplexity").between(F.col("middle") - lower * slack, F.col("middle") + upper * slack)
+    inside = F.col("log_spelling").between(F.col("spelling_middle") - lower * slack("spelling_spread"), F.col("spelling_middle") + upper * slack("spelling_spread"))
+    inside = inside & (F.col("log_perplexity") <= F.col("middle") + upper * slack("spread"))
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
