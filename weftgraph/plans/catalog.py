@@ -368,6 +368,41 @@ def _common_subpaths(spark, d):
     return out.select(F.array_join("common_path", ">").alias("common_path"), F.col("count").alias("n"))
 
 
+# The three above start from one customer, as their SQL does; those below from every node that calls and that nothing calls.
+_ALL_PATHS = f"""WITH {RELATIONS}, {_CALLS},
+  p3 AS (SELECT a.s AS n1, a.t AS n2, b.t AS n3 FROM calls a JOIN calls b ON b.s = a.t WHERE a.s NOT IN (SELECT t FROM calls)),
+  p4 AS (SELECT p3.*, c.t AS n4 FROM p3 JOIN calls c ON c.s = n3),
+  lp AS (SELECT n1 || '>' || n2 || '>' || n3 AS path, 3 AS length, n1, n2, n3, NULL AS n4 FROM p3 UNION ALL SELECT n1 || '>' || n2 || '>' || n3 || '>' || n4, 4, n1, n2, n3, n4 FROM p4),
+  top AS (SELECT *, row_number() OVER (ORDER BY length DESC, n1, n2, n3, n4) AS i FROM lp QUALIFY i <=
+    least(10000, CASE WHEN (SELECT count(*) FROM lp) > 25 THEN (SELECT count(*) FROM lp) // 5 ELSE (SELECT count(*) FROM lp) END))"""
+
+
+def _all_paths_of(spark, d) -> DataFrame:
+    calls = G.relations(spark, d).where("relation_type <> 'CONTAINS'")
+    entries = calls.select(F.col("source_id").alias("id")).distinct().join(calls.select(F.col("target_id").alias("id")), "id", "left_anti")
+    return paths.long_paths(calls, entries)
+
+
+@_query("long_paths_all", f"{_ALL_PATHS} SELECT path, length FROM lp")
+def _long_paths_all(spark, d):
+    return _all_paths_of(spark, d).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@_query("longest_paths_all", f"{_ALL_PATHS} SELECT path, length FROM top")
+def _longest_paths_all(spark, d):
+    return paths.longest_sample(_all_paths_of(spark, d)).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@_query("common_subpaths_all", f"""{_ALL_PATHS},
+  c AS (SELECT concat_ws('>', CASE WHEN a.n1 = b.n1 THEN a.n1 END, CASE WHEN a.n2 = b.n2 THEN a.n2 END, CASE WHEN a.n3 = b.n3 THEN a.n3 END, CASE WHEN a.n4 = b.n4 THEN a.n4 END) AS common_path
+    FROM top a JOIN top b ON a.i > b.i AND a.n3 = b.n3 AND (a.n1 = b.n1)::int + (a.n2 = b.n2)::int + coalesce((a.n4 = b.n4)::int, 0) >= 2
+    UNION ALL SELECT concat_ws('>', a.n1, a.n2, a.n4) FROM top a JOIN top b ON a.i > b.i AND a.n4 = b.n4 AND a.n1 = b.n1 AND a.n2 = b.n2 AND a.n3 <> b.n3)
+  SELECT common_path, count(*) AS n FROM c GROUP BY 1""")
+def _common_subpaths_all(spark, d):
+    out = paths.common_subpaths(paths.longest_sample(_all_paths_of(spark, d)))
+    return out.select(F.array_join("common_path", ">").alias("common_path"), F.col("count").alias("n"))
+
+
 @_query("core_functions", "SELECT p_partkey AS id FROM part WHERE NOT (p_size % 3 = 0 OR p_size % 5 = 0) AND p_size % 2 = 0")
 def _core_functions(spark, d):
     tags = F.array_compact(F.array(F.when(F.col("p_size") % 3 == 0, "Utility"), F.when(F.col("p_size") % 5 == 0, "testing"), F.lit("core")))
