@@ -1,10 +1,7 @@
 from collections import Counter
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from weftgraph.plans import catalog
-from weftgraph.sources.tables_graph import table
 
 ID = "t0|tpch|c0|"
 
@@ -41,3 +38,13 @@ def test_paths_from_every_entry(spark, tmp_path):
         if len(both) >= 3:
             shared[">".join(both)] += 1
     assert {r.common_path: r.n for r in catalog.queries()["common_subpaths_all"](spark, d).collect()} == shared
+
+
+def test_members_and_coverage_of_every_row(spark, tmp_path):
+    d = tables(spark, tmp_path, region=("r_regionkey int", [(0,)]), nation=("n_nationkey int, n_regionkey int", [(0, 0), (1, 0)]),
+               customer=("c_custkey int, c_nationkey int, c_name string, c_mktsegment string", [(1, 0, "a", "m"), (2, 1, "b", "m"), (3, 1, "c", "m")]),
+               supplier=("s_suppkey int, s_nationkey int, s_name string", [(5, 0, "x"), (25, 1, "y"), (900, 1, "z")]),
+               part=("p_partkey int, p_size int", [(1, 7), (2, 8), (3, 50)]), lineitem=("l_partkey int, l_quantity double", [(2, 46.0), (2, 50.0), (2, 45.0), (1, 1.0)]))
+    owned = [("struct:5", "function:1"), *((f"struct:{s}", f"function:{c}") for s in (25, 900) for c in (2, 3))]
+    assert sorted(tuple(r) for r in catalog.queries()["staged_members_all"](spark, d).collect()) == sorted(owned)
+    assert sorted(tuple(r) for r in catalog.queries()["coverage_check_all"](spark, d).collect()) == [(1, 0, False), (2, 2, True), (3, 0, False)]

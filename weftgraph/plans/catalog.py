@@ -581,6 +581,12 @@ def _coverage(spark, d):
     return schema_rules.coverage(table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("id")), edges)
 
 
+@_query("coverage_check_all", "SELECT p_partkey AS id, count(l_partkey) AS tests, count(l_partkey) > 0 AS covered FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY 1")
+def _coverage_all(spark, d):
+    edges = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("target_id"), F.lit("VERIFIES").alias("relation_type"))
+    return schema_rules.coverage(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges)
+
+
 @_query("constraint_violations", """SELECT * FROM (SELECT 'unique' AS rule, 'l_orderkey,l_linenumber' AS detail, count(*) AS rows FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
   UNION ALL SELECT 'range', 'l_quantity', count(*) FROM lineitem WHERE NOT l_quantity BETWEEN 5 AND 50 UNION ALL SELECT 'required', 'l_shipdate', count(*) FROM lineitem WHERE l_shipdate IS NULL) WHERE rows > 0""")
 def _constraints(spark, d):
@@ -657,6 +663,13 @@ def _staged_members(spark, d):
     return importance.members(_typed_nodes(spark, d).select("id", "type"), edges, ("has_method",), ("function",)).select("owner", "id")
 
 
+@_query("staged_members_all", "SELECT 'struct:' || s_suppkey AS owner, 'function:' || c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def _staged_members_all(spark, d):
+    own = table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
+    edges = own.select(F.concat(F.lit("struct:"), "s_suppkey").alias("source_id"), F.concat(F.lit("function:"), "c_custkey").alias("target_id"), F.lit("has_method").alias("relation_type"))
+    return importance.members(_typed_nodes(spark, d).select("id", "type"), edges, ("has_method",), ("function",)).select("owner", "id")
+
+
 @_query("resolved_calls", f"""WITH f AS (SELECT DISTINCT o_custkey c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END fn, o_orderkey % 9 it FROM orders),
   j AS (SELECT c, coalesce('f' || a.s_suppkey, 'i' || b.s_suppkey) AS target_id, CASE WHEN a.s_suppkey IS NOT NULL THEN 'function' ELSE 'interface_function' END AS target_type
     FROM f LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) a ON fn = a.s_suppkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1) b ON it = b.s_suppkey)
