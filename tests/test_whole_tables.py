@@ -48,3 +48,16 @@ def test_members_and_coverage_of_every_row(spark, tmp_path):
     owned = [("struct:5", "function:1"), *((f"struct:{s}", f"function:{c}") for s in (25, 900) for c in (2, 3))]
     assert sorted(tuple(r) for r in catalog.queries()["staged_members_all"](spark, d).collect()) == sorted(owned)
     assert sorted(tuple(r) for r in catalog.queries()["coverage_check_all"](spark, d).collect()) == [(1, 0, False), (2, 2, True), (3, 0, False)]
+
+
+def test_texts_are_read_whole(spark, tmp_path):
+    from hashlib import md5
+
+    html = "<p>" + "x" * 500
+    d = tables(spark, tmp_path, pages=("page_id int, html string", [(1, html), (2, html + "y"), (3, None), (4, "a/b")]),
+               documents=("doc_id int, source string, text string", [(1, "web", "a" * 60 + " Test"), (2, "web", "b" * 60 + " config"), (3, "web", "c"), (4, "web", "d" * 60 + "doc")]))
+    key = lambda x: "_p_" + "x" * 222 + "_" + md5(x.encode()).hexdigest()[:8] + "_trunc"
+    got = {r.page_id: r.path_key for r in catalog.queries()["path_keys_whole"](spark, d).collect()}
+    assert got == {1: key(html), 2: key(html + "y"), 3: None, 4: "a_b"}
+    kinds = {r.doc_id: r.module_type for r in catalog.queries()["file_entities_whole"](spark, d).collect()}
+    assert kinds == {1: "test", 2: "config", 3: "source", 4: "documentation"}

@@ -103,6 +103,12 @@ def _path_keys(spark, d):
     return table(spark, d, "pages").where("html is not null").select("page_id", ids.path_key(path).alias("path_key"))
 
 
+@_query("path_keys_whole", """WITH s AS (SELECT page_id, html, regexp_replace(html, '[^a-zA-Z0-9_-]', '_', 'g') AS plain FROM pages)
+  SELECT page_id, CASE WHEN length(plain) > 240 THEN substr(plain, 1, 225) || '_' || substr(md5(html), 1, 8) || '_trunc' ELSE plain END AS path_key FROM s""")
+def _path_keys_whole(spark, d):
+    return table(spark, d, "pages").select("page_id", ids.path_key("html").alias("path_key"))
+
+
 @_query("rule_provenance", f"""{GRAPH} SELECT relation_type, rule_id, count(*) AS n,
   max(CASE relation_type WHEN 'CALLS' THEN 0.9 WHEN 'USES' THEN 0.88 WHEN 'IMPORTS' THEN 0.98 ELSE 0.5 END)::double AS confidence FROM edges GROUP BY 1, 2""")
 def _rule_provenance(spark, d):
@@ -538,6 +544,16 @@ def _file_entities(spark, d):
     )
 
 
+@_query("file_entities_whole", """SELECT doc_id, length(text) AS size, len(string_split(text, chr(10))) AS lines, md5(text) AS content_hash,
+  'documents/' || source || '/' || doc_id AS path, CASE WHEN contains(lower(source || text), 'test') THEN 'test' WHEN contains(lower(source || text), 'doc') THEN 'documentation'
+  WHEN contains(lower(source || text), 'config') THEN 'config' ELSE 'source' END AS module_type, (length(text) // 4)::int AS tokens FROM documents""")
+def _file_entities_whole(spark, d):
+    return table(spark, d, "documents").select(
+        "doc_id", F.length("text").cast("long").alias("size"), text.line_count("text").cast("long").alias("lines"), ids.content_hash("text").alias("content_hash"),
+        F.concat_ws("/", F.lit("documents"), "source", "doc_id").alias("path"), text.module_type(F.concat("source", "text")).alias("module_type"), text.token_estimate("text").alias("tokens"),
+    )
+
+
 @_query("content_duplicates", "SELECT md5(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def _content_duplicates(spark, d):
     return table(spark, d, "documents").groupBy(ids.content_hash("text").alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
