@@ -56,6 +56,77 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in one array, and the texts' offsets in it, the end included; null is empty."""
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    cuts = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\x0b\x0c\r")] = True
+
+
+def word_spans(data: np.ndarray, cuts: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, which never cross texts, and the number of words of each text.
+
+    apart: characters of scripts written without spaces (three bytes, the first from E3 to ED) stand alone.
+    """
+    if not len(data):
+        none = np.empty(0, np.int64)
+        return none, none, np.zeros(len(cuts) - 1, np.int64)
+    blank = SPACE[data]
+    begin = ~blank
+    begin[1:] &= blank[:-1]
+    heads = cuts[:-1][np.diff(cuts) > 0]
+    begin[heads] = ~blank[heads]
+    if apart:
+        lead = (data >= 0xE3) & (data <= 0xED)
+        begin |= lead
+        begin[3:] |= lead[:-3] & ~blank[3:]
+    stop = np.empty(len(data), bool)
+    stop[:-1] = ~blank[:-1] & (blank[1:] | begin[1:])
+    stop[-1] = not blank[-1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, cuts))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' base, and of its inverse, modulo 2^64; tables of one block's length are kept."""
+    if n not in _powers:
+        made = tuple(np.concatenate((np.ones(1, U64), np.cumprod(np.full(n - 1, x, U64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        if n > 1 << 20:
+            return made
+        _powers[n] = made
+    return _powers[n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes: polynomials (mod 2^64, scrambled) from running sums, block by block.  Spans
+    are in order and do not overlap."""
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        first = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, first + (1 << 20), "right")))
+        size = int(ends[upto - 1]) - first
+        power, inverse = _power_table(max(1 << 20, size))
+        total = np.zeros(size + 1, U64)
+        np.cumsum((data[first : first + size].astype(U64) + U64(1)) * power[:size], out=total[1:])
+        a, b = starts[at:upto] - first, ends[at:upto] - first
+        out[at:upto] = (total[b] - total[a]) * inverse[a]
+        at = upto
+    return mix64(out)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finalizer)."""
     x = x.astype(U64, copy=True)

@@ -1,15 +1,24 @@
 """Quality rules: n-gram perplexity bands by language, and base counts.
 
 A modified Kneser-Ney model of word pairs is counted in Spark over every document, one model a language, in buckets of
-sorted pair hashes whose number grows with the corpus; nothing of it is gathered or broadcast.  A pair counts once for
-each word on its left, and what a document has itself is left out when it is scored, so neither itself nor its copies
-vouch for it.  Words not seen after the word before are spelled by a byte trigram model (24-bit codes, 2^24 entries a
-language at most), which also scores white space.  A document is kept if it passes the base rules, its log-perplexity by
-bytes alone lies inside its language's band (the median, less `lower` and plus `upper` spreads) and that by word pairs is
-not above its own median by more than `upper` spreads; it has no lower bound, as passages that many texts quote are well
-predicted.  Medians and spreads come from all documents of the language that pass the base rules.  A document's own
+sorted pair hashes whose number grows with the corpus; nothing of it is gathered or broadcast.  The corpus falls into two
+halves, by the smallest pair hash of a text, so that copies and most near copies are in one half, and a document is scored
+by the counts of the other half: neither itself nor its copies vouch for it.  Words not seen after the word before are
+spelled by a byte trigram model (24-bit codes, 2^24 entries a language at most), which also scores white space.
+
+1. Each task sends the distinct pairs of CHUNK_BYTES of text and their counts to the buckets of the words before.  A word
+   whose pairs would fill a bucket is split over several by the word behind it.
+2. A bucket answers each chunk with the other half's counts of its pairs and of the words before.
+3. The texts are read once more; each chunk sends what its documents need beside the answers, meets them and adds up.
+
+A document is kept if it passes the base rules, its log-perplexity by bytes alone lies inside its language's band (the
+median, less `lower` and plus `upper` spreads) and that by word pairs is not above its own median by more than `upper`
+spreads; it has no lower bound, as passages that many texts quote are well predicted.  Medians and spreads are exact
+percentiles of all documents of the language that pass the base rules, on values rounded to 0.001.  A document's own
 length widens its band, since the mean over few bytes scatters more.
 
+Steps 1 and 3 must see the same batches, as scans of files do; counts that disagree raise an error.
+
 Cases: null or empty text has no words and fails; null lang is a language of its own; null ids and repeated rows are
 rows like any other; a language with one document has a band around it; an empty table gives no rows; other columns are
 ignored.
@@ -17,61 +26,53 @@ ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, materialize, mix64, rows_per_batch, sequence_starts, text_bytes
+from .common import SPACE, U64, materialize, mix64, rows_per_batch, sequence_starts, span_hashes, text_array, windows_hash, word_spans
 
 #: Spreads below and above the median that are still kept, the least spread, and the scatter of a mean over n bytes.
 LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 0.7
-#: Bytes of text a bucket of word pairs stands for, about.
-BUCKET_BYTES = 16 << 20
-_CHARACTERS = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|[^ \t-\r\xe3-\xed]+|[\xe3-\xed]")
-_SPACE = np.zeros(256, bool)
-_SPACE[list(b" \t\n\x0b\x0c\r")] = True
-_CHARACTER = np.array([(b & 0xC0) != 0x80 for b in range(256)]) & ~_SPACE
+#: Bytes of text that a bucket of word pairs stands for, and bytes of text whose pairs are sent together, about.
+BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 32 << 20
+#: Bits of a word's hash beside those of the word before it, and how many of them tell words after an uncommon one apart;
+#: a word is common if it comes more than 1/COMMON of a bucket's words; steps of a nat in which a pair's spelling travels.
+WORD_BITS, FEW_BITS, COMMON, STEPS = 28, 20, 64, 1
+FACTOR = 0x9E3779B97F4A7C15
+_CHARACTER = np.array([(b & 0xC0) != 0x80 for b in range(256)]) & ~SPACE
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of all bytes, each text with its end and two bytes of start; offsets of the texts' codes."""
-    data = np.frombuffer(b"\0\0" + b"\0\0\0".join(texts) + b"\0", np.uint8).astype(np.uint32)
-    starts = sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    code = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    # windows that end in a text or at its end; those that end in the two bytes of the next start are left out
-    keep = np.ones(len(code), bool)
-    borders = starts[1:-1] + 2 * np.arange(len(texts) - 1)
-    keep[borders] = keep[borders + 1] = False
-    return code[keep], starts
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents; each batch sends its distinct trigrams only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str | None, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                gram, n = np.unique(_codes(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(n.astype(np.int64))],
-                    ["lang", "gram", "n"],
-                )
-
-    return (
-        docs.select("lang", "text").mapInArrow(run, "lang string, gram int, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
+def _codes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trigram code of each byte after the two before it in its text (0 before the start); codes of the texts' ends."""
+    code = data.astype(np.uint32)
+    heads = cuts[:-1]
+    own = np.diff(cuts)
+    for back in (1, 2):
+        part = np.zeros(len(data), np.uint32)
+        part[back:] = data[:-back].astype(np.uint32) << np.uint32(8 * back)
+        for k in range(back):
+            part[heads[own > k] + k] = 0
+        code |= part
+    ends = np.zeros(len(own), np.uint32)
+    some = np.flatnonzero(own)
+    ends[some] = code[cuts[1:][some] - 1] << np.uint32(8) & np.uint32(0xFFFFFF)
+    return code, ends
+
+
+def _spelling_codes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The trigram codes of the words' bytes as if two blanks came before each word; other bytes keep theirs."""
+    code = code.copy()
+    code[starts] = code[starts] & 0xFF | 0x202000
+    second = starts[ends - starts > 1] + 1
+    code[second] = code[second] & 0xFFFF | 0x200000
+    return code
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -114,55 +115,120 @@ class TrigramModel:
         return np.where(seen, self.log3[at], np.log(self.back[code >> 8] * self.p2[code & 0xFFFF]))
 
 
-def fit(docs: DataFrame) -> dict[str | None, TrigramModel]:
-    """One model a language, from counts over all documents."""
-    found = count_trigrams(docs).toArrow()
-    gram, n = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()
-    number = found.column("lang").combine_chunks().dictionary_encode()
-    index = number.indices.fill_null(-1).to_numpy()
-    names = [*number.dictionary.to_pylist(), None]
-    return {names[i]: TrigramModel(gram[index == i], n[index == i]) for i in np.unique(index).tolist()}
+class Distinct:
+    """Distinct 24-bit codes and the number of each code among them, by tables in place of sorting."""
+
+    def __init__(self):
+        self.seen, self.number = np.zeros(1 << 24, bool), np.empty(1 << 24, np.int32)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.seen[codes] = True
+        kinds = np.flatnonzero(self.seen)
+        self.seen[kinds] = False
+        self.number[kinds] = np.arange(len(kinds), dtype=np.int32)
+        return kinds.astype(np.uint32), self.number[codes]
+
 
+def _by_lang(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[tuple[str | None, int, int]]]:
+    """The batch in the order of its languages, and each language with its first and last row."""
+    langs = batch.column("lang").to_pylist()
+    order = sorted(range(len(langs)), key=lambda i: (langs[i] is not None, langs[i] or ""))
+    names = [langs[i] for i in order]
+    cuts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+    return batch.take(pa.array(order, pa.int64())), [(names[i], i, j) for i, j in zip(cuts, [*cuts[1:], len(names)])]
 
-def base_counts(text: bytes) -> tuple[int, int, int]:
-    """n_words, n_dup_lines, n_repeat_words."""
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    grams = list(zip(words, words[1:], words[2:]))
-    repeat = 0
-    if len(seen := set(grams)) < len(grams):
-        once, twice = set(), set()
-        for g in grams:
-            (twice if g in once else once).add(g)
-        del seen
-        upto = 0
-        for i, g in enumerate(grams):
-            if g in twice:
-                repeat += i + 3 - max(i, upto)
-                upto = i + 3
-    return len(words), len(lines) - len(set(lines)), repeat
 
+def _lang_hash(lang: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(b"" if lang is None else b"=" + lang.encode())
 
-def _tokens(text: bytes) -> list[bytes]:
-    """Words; characters of scripts written without spaces stand alone."""
-    return _CHARACTERS.findall(text) if max(text, default=0) > 0xE2 else text.split()
 
+def statistics(docs: DataFrame, buckets: int = 1) -> tuple[dict[str | None, TrigramModel], dict[int, int]]:
+    """One byte model a language, from counts over all documents; and the common histories, COMMON a bucket at most, with
+    the number of buckets to split each over, so that none fills more than about half a bucket."""
+    docs = docs.select("lang", "text")
 
-def _spelled(model: TrigramModel, words: list[bytes]) -> np.ndarray:
-    """Log-probability of each word's bytes after white space."""
-    data = np.frombuffer(b"  " + b"  ".join(words), np.uint8).astype(np.uint32)
-    starts = sequence_starts(np.fromiter(map(len, words), np.int64, len(words)) + 2)[:-1]
-    total = np.concatenate(([0.0], np.cumsum(model.logs((data[:-2] << 16) | (data[1:-1] << 8) | data[2:]))))
-    return total[starts + np.fromiter(map(len, words), np.int64, len(words))] - total[starts]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = Distinct()
+        for batch in batches:
+            batch, langs = _by_lang(batch)
+            data, cuts = text_array(batch.column("text"))
+            code, ends = _codes(data, cuts)
+            starts, stops, sizes = word_spans(data, cuts, apart=True)
+            word, upto = span_hashes(data, starts, stops), sequence_starts(sizes)
+            for lang, a, b in langs:
+                gram, inverse = distinct.of(np.concatenate((code[cuts[a] : cuts[b]], ends[a:b])))
+                rows = [(False, gram.astype(np.int64), np.bincount(inverse))]
+                w = np.sort(word[upto[a] : upto[b]])
+                first = np.flatnonzero(_changes(w))
+                n = np.diff(np.append(first, len(w)))
+                many = np.flatnonzero(n >= len(w) / (2 * COMMON * buckets))
+                before, n = np.append(w[first[many]], U64(0)), np.append(n[many], b - a)
+                rows.append((True, mix64(before ^ U64(_lang_hash(lang))).view(np.int64), n))
+                for kind, gram, n in rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(gram), pa.string()), pa.array([kind] * len(gram)), pa.array(gram), pa.array(n.astype(np.int64))],
+                        ["lang", "word", "gram", "n"],
+                    )
+
+    found = materialize(docs.mapInArrow(run, "lang string, word boolean, gram long, n long").groupBy("lang", "word", "gram").agg(F.sum("n").alias("n")), "quality-counts")
+    grams = found.where("not word").toArrow()
+    gram, n = grams.column("gram").to_numpy().astype(np.uint32), grams.column("n").to_numpy()
+    number = grams.column("lang").combine_chunks().dictionary_encode()
+    index = number.indices.fill_null(-1).to_numpy()
+    names = [*number.dictionary.to_pylist(), None]
+    models = {names[i]: TrigramModel(gram[index == i], n[index == i]) for i in np.unique(index).tolist()}
+    share = max(1.0, sum(m.n_bytes for m in models.values()) / 6.5 / buckets)  # words of a bucket, about
+    heavy = found.where(F.col("word") & (F.col("n") > share / COMMON)).withColumn("parts", F.least(F.lit(buckets), F.ceil(2 * F.col("n") / share)))
+    return models, {r.gram: int(r.parts) for r in heavy.select("gram", "parts").collect()}
+
+
+def fit(docs: DataFrame) -> dict[str | None, TrigramModel]:
+    """One byte model a language, from counts over all documents."""
+    return statistics(docs)[0]
+
+
+def _equal_neighbours(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places with equal hashes in one text, next to each other in the order of the hashes."""
+    key = mix64(hashes ^ mix64(doc.astype(U64)))
+    order = np.argsort(key)
+    again = np.flatnonzero(~_changes(key[order]))
+    return order[again - 1], order[again]
+
+
+def base_counts(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_words, n_dup_lines, n_repeat_words of each text."""
+    starts, ends, sizes = word_spans(data, cuts)
+    lines, doc = np.zeros(len(sizes), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    word = span_hashes(data, starts, ends)
+    inside = np.flatnonzero(doc[2:] == doc[:-2]) if len(doc) > 2 else np.empty(0, np.int64)
+    a, b = _equal_neighbours(doc[inside], windows_hash(word, 3, FACTOR)[inside])
+    a, b = inside[a], inside[b]
+    same = (word[a] == word[b]) & (word[a + 1] == word[b + 1]) & (word[a + 2] == word[b + 2])
+    covered = np.zeros(len(word), bool)
+    for at in (a[same], b[same]):
+        for k in range(3):
+            covered[at + k] = True
+    repeats = np.diff(np.concatenate(([0], np.cumsum(covered)))[sequence_starts(sizes)])
+    breaks = np.flatnonzero(data == 10)
+    edges = np.unique(np.concatenate((cuts, breaks + 1)))
+    a, b = edges[:-1], edges[1:].copy()
+    b[np.isin(b - 1, breaks)] -= 1
+    full = np.searchsorted(starts, a) < np.searchsorted(starts, b)  # lines with a word
+    a, b = a[full], b[full]
+    doc = np.searchsorted(cuts, a, "right") - 1
+    for i in np.unique(doc[_equal_neighbours(doc, span_hashes(data, a, b))[1]]).tolist():
+        some = [x for x in data[cuts[i] : cuts[i + 1]].tobytes().split(b"\n") if x.strip()]
+        lines[i] = len(some) - len(set(some))
+    return sizes, lines, repeats
 
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of one length, byte plane by byte plane, compressed."""
-    return zlib.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+    return zstandard.ZstdCompressor(1).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns))
 
 
 def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    data, sizes, out, at = np.frombuffer(zlib.decompress(blob), np.uint8), [np.dtype(k).itemsize for k in kinds], [], 0
+    data, sizes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), [np.dtype(k).itemsize for k in kinds], [], 0
     n = len(data) // sum(sizes)
     for kind, size in zip(kinds, sizes):
         out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).ravel())
@@ -170,151 +236,281 @@ def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _numbered(*keys: np.ndarray) -> np.ndarray:
-    """The number of each combination of keys, in the order of the keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys differs from the one before; the first place counts."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
     for k in keys:
-        new[1:] |= np.diff(k[order]) != 0
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+class Tokens:
+    """The tokens of one batch of texts, in the order of languages, as hashes, and which half each text belongs to."""
+
+    def __init__(self, data: np.ndarray, cuts: np.ndarray, langs: list[tuple[str | None, int, int]]):
+        self.starts, self.ends, self.sizes = word_spans(data, cuts, apart=True)
+        self.word = span_hashes(data, self.starts, self.ends)
+        first = sequence_starts(self.sizes)[:-1]
+        some = np.flatnonzero(self.sizes)
+        before = np.concatenate((np.zeros(min(1, len(self.word)), U64), self.word[:-1]))
+        before[first[some]] = 0
+        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        names = np.concatenate([np.full(b - a, _lang_hash(lang), U64) for lang, a, b in langs])
+        self.history = mix64(before ^ names[self.row])
+        self.half = np.zeros(len(self.sizes), np.int64)
+        if len(some):
+            least = np.minimum.reduceat(mix64(before * U64(FACTOR) + self.word), first[some])
+            self.half[some] = (mix64(least) & U64(1)).astype(np.int64)
+
+
+    def slim(self) -> Tokens:
+        """Without the places of the words."""
+        del self.starts, self.ends
+        return self
+
+
+class Pairs:
+    """Word pairs in the order in which buckets hold them, each once; a heavy history asks all of its buckets."""
+
+    def __init__(self, history: np.ndarray, word: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], buckets: int):
+        names, split = heavy
+        low, part = history & U64(0xFFFFFFFF), np.zeros(len(word), U64)
+        more, more_at, hot = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, history), len(names) - 1)
+            hot = np.flatnonzero(names[at] == history)
+            at = at[hot]
+            part[hot] = (word[hot] & U64(0xFFFF)) % split[at]
+            here = np.flatnonzero((np.bincount(at, minlength=len(names)) > 0) & (split > 1))
+            more = np.repeat(names[here], split[here].astype(np.int64))
+            more_at = np.concatenate([*(np.arange(int(k)) for k in split[here]), np.empty(0, np.int64)]).astype(np.int64)
+        bucket = ((low + part) % U64(buckets)).astype(np.int64)
+        bucket = np.concatenate((bucket, ((more & U64(0xFFFFFFFF)).astype(np.int64) + more_at) % buckets))
+        key = np.concatenate((history, more)) >> U64(32) << U64(WORD_BITS)
+        bits = np.full(len(word), 64 - FEW_BITS, np.uint8)
+        bits[hot] = 64 - WORD_BITS
+        key[: len(word)] |= word >> bits
+        order = np.argsort(key)
+        narrow = bucket.astype(np.uint16) if buckets < 1 << 16 else bucket
+        order = order[np.argsort(narrow[order], kind="stable")]
+        key, bucket, real = key[order], bucket[order], order < len(word)
+        first = np.flatnonzero(_changes(key, bucket))
+        self.places = order[real]  # occurrences by pair
+        self.times = np.add.reduceat(real.astype(np.int64), first)
+        self.example = order[first]  # an occurrence of each pair, or beyond all of them
+        self.key, self.bucket = key[first], bucket[first]
+        self.new = _changes(self.key >> U64(WORD_BITS), self.bucket)
+        self.buckets = np.flatnonzero(_changes(self.bucket))
+
+    def by_bucket(self) -> Iterator[tuple[int, slice]]:
+        for a, b in zip(self.buckets.tolist(), [*self.buckets[1:].tolist(), len(self.key)]):
+            yield int(self.bucket[a]), slice(a, b)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, list]]:
+    """read(batch) of enough batches for CHUNK_BYTES of text, under a number that the same scan gives again."""
+    held, size, number, part = [], 0, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part")[0].as_py()
+        held.append(read(batch))
+        size += batch.column("text").nbytes
+        if size >= CHUNK_BYTES:
+            yield part << 32 | number << 1, held
+            held, size, number = [], 0, number + 1
+    if held:
+        yield part << 32 | number << 1, held
+
+
+def answers(halves: list[list[np.ndarray]], times: list[list[np.ndarray]]) -> list[list[tuple]]:
+    """For the sorted keys of each blob of each half: the other half's counts of these pairs; of each history in turn
+    its count and what its pairs leave to spelling, in the leading 16 bits of a float; and the discounts."""
+    flat = [k for half in halves for k in half]
+    keys, inverse = np.unique(np.concatenate(flat), return_inverse=True)
+    cuts = sequence_starts(np.fromiter(map(len, flat), np.int64, len(flat)))
+    history = np.cumsum(_changes(keys >> U64(WORD_BITS))) - 1
+    out, at = [], 0
+    counts = []
+    for half, n in zip(halves, times):
+        own = inverse[cuts[at] : cuts[at + len(half)]]
+        counts.append(np.bincount(own, np.concatenate([*n, np.empty(0)]), len(keys)).astype(np.int64))
+        at += len(half)
+    at = 0
+    for half, n in zip(halves, counts[::-1]):
+        discounts, mine = _discounts(n[n > 0]), []
+        saved = np.bincount(history, np.where(n > 0, discounts[np.clip(n, 1, 3) - 1], 0)).astype(np.float32)
+        table = [np.bincount(history, n).astype(np.uint32), ((saved.view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16)]
+        for k in range(at, at + len(half)):
+            i = inverse[cuts[k] : cuts[k + 1]]
+            h = history[i]
+            h = h[_changes(h)] if len(h) else h
+            mine.append((n[i].astype(np.uint32), [x[h] for x in table], discounts))
+        out.append(mine)
+        at += len(half)
     return out
 
 
-def pair_logs(pair: np.ndarray, left: np.ndarray, doc: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct docs, and the log-probability of all their words given the word before.
+def gains(count, total, saved, discounts, history, spelled) -> np.ndarray:
+    """Log-probability of each pair above that of its spelling.
 
-    pair: hash of the word before in the upper half, of the word in the lower half; all pairs of a word before are here.
-    left: hash of the word before the pair.  A pair counts once for each word on its left, as Kneser-Ney counts
-    continuations, so copies add nothing; what the document itself has is left out, whoever else has it.  The rest of
-    the probability goes to the word's spelling.
+    count: of each pair; history: its place in total and saved, what its pairs leave to spelling; discounts: for each
+    pair, of counts 1, 2 and 3 or more.
     """
-    docs, d = np.unique(doc, return_inverse=True)
-    kind, triple = _numbered(pair), _numbered(pair, left)
-    once = np.unique(triple, return_index=True)[1]
-    n = np.bincount(kind[once])
-    before = np.empty(len(n), np.int64)
-    before[kind] = _numbered(pair >> np.uint64(32))
-    discounts = _discounts(n)
-    cut = lambda c: np.where(c > 0, discounts[np.clip(c, 1, 3) - 1], 0.0)
-    pairs, first, inverse, times = np.unique(kind * len(docs) + d, return_index=True, return_inverse=True, return_counts=True)
-    own = np.bincount(inverse[np.unique(triple * len(docs) + d, return_index=True)[1]], minlength=len(pairs))
-    kind, d = pairs // len(docs), pairs % len(docs)
-    held = np.unique(before[kind] * len(docs) + d, return_inverse=True)[1]
-    rest = n[kind] - own
-    total = np.bincount(before, n)[before[kind]] - np.bincount(held, own)[held]
-    saved = np.bincount(before, cut(n))[before[kind]] - np.bincount(held, cut(n[kind]) - cut(rest))[held]
+    cut = np.where(count > 0, np.take_along_axis(discounts, np.clip(count, 1, 3)[:, None].astype(np.int64) - 1, 1)[:, 0], 0.0)
+    t = np.maximum(total[history], 1)
     with np.errstate(divide="ignore"):
-        seen = np.log(np.maximum(rest - cut(rest), 0) / np.maximum(total, 1))
-        back = np.log(np.maximum(saved, 0) / np.maximum(total, 1))
-    logs = np.where(total > 0, np.logaddexp(seen, back + spelled[first]), spelled[first])
-    return docs, np.bincount(d, times * logs, len(docs))
+        seen, back = np.log(np.maximum(count - cut, 0) / t), np.log(saved[history] / t)
+    return np.where(total[history] > 0, np.logaddexp(seen - spelled, back), 0.0)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, log_perplexity by word pairs and log_spelling by bytes of every document.
-
-    Batches send their word pairs to buckets by the word before, buckets return sums by document, and both meet again by
-    batch; the number of buckets grows with the corpus.
-    """
+    """doc_id, lang, the base counts, base_failed, log_perplexity by word pairs and log_spelling by bytes of every document."""
     spark = docs.sparkSession
-    rows_per_batch(spark, 2000)
-    fitted = fit(docs)
-    buckets = max(12, sum(m.n_bytes for m in fitted.values()) // BUCKET_BYTES)
-    models = spark.sparkContext.broadcast(fitted)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes"]
-    out = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names)
-    sent = f"chunk long, bucket long, row int, pairs binary, {out}, logs double, spelling double"
-    arrow = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("row", pa.int32()), ("pairs", pa.binary()), ("doc_id", pa.int64()),
-                       ("lang", pa.string()), *((c, pa.int64()) for c in names), ("logs", pa.float64()), ("spelling", pa.float64())])
-
-    def table(n: int, **columns) -> pa.Table:
-        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, part_id = WordHashes(), TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            texts, langs = text_bytes(batch.column("text")), batch.column("lang").to_pylist()
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            starts = sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)))
-            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[starts])
-            logs, spelling, by, chunk = np.zeros(len(texts)), np.zeros(len(texts)), {}, part_id << 32 | number
-            for i, lang in enumerate(langs):
-                by.setdefault(lang, []).append(i)
-            found = []
-            for lang, rows in by.items():
-                part, cuts = _codes([texts[i] for i in rows])
-                kinds, inverse = np.unique(part, return_inverse=True)
-                between = _SPACE[part & 0xFF]
-                between[cuts[1:] - 1] = True  # bytes of words are scored below
-                bytes_logs = models.value[lang].logs(kinds)[inverse]
-                total = np.concatenate(([0.0], np.cumsum(bytes_logs)))
-                spelling[rows] = -np.diff(total[cuts]) / np.diff(cuts)
-                total = np.concatenate(([0.0], np.cumsum(bytes_logs * between)))
-                logs[rows] = np.diff(total[cuts])
-                tokens = [_tokens(texts[i]) for i in rows]
-                lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                flat = [w for t in tokens for w in t]
-                if not flat:
+    rows_per_batch(spark, 1000)
+    docs = docs.select(F.col("doc_id").cast("long"), "lang", "text", F.spark_partition_id().alias("part"))
+    buckets = max(12, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    fitted, split = statistics(docs, buckets)
+    names = np.array(sorted(x & (1 << 64) - 1 for x in split), U64)
+    parts = np.array([split[int(x.astype(np.int64))] for x in names], U64)
+    models, heavy = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast((names, parts))
+    counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes"]
+    arrow = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+    sent = "chunk long, bucket long, a binary, b binary, c binary, d binary"
+    row_type = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in counted), ("log_perplexity", pa.float64()), ("log_spelling", pa.float64())])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def join(parts: list[Tokens], half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """History, word and text, numbered through the parts, of all tokens in one half."""
+        base = sequence_starts(np.array([len(p.half) for p in parts])).astype(np.int32)
+        mine = [np.flatnonzero(p.half[p.row] == half) for p in parts]
+        pick = lambda f: np.concatenate([f(p, m, b) for p, m, b in zip(parts, mine, base)])
+        return pick(lambda p, m, _: p.history[m]), pick(lambda p, m, _: p.word[m]), pick(lambda p, m, b: p.row[m] + b)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch: pa.RecordBatch) -> Tokens:
+            batch, langs = _by_lang(batch)
+            return Tokens(*text_array(batch.column("text")), langs).slim()
+
+        for chunk, held in _chunks(batches, read):
+            for half in (0, 1):
+                history, word, _ = join(held, half)
+                if len(word):
+                    p = Pairs(history, word, heavy.value, buckets)
+                    yield table([(chunk | half, b, _packed(np.diff(p.key[s], prepend=U64(0)), p.times[s].astype(np.uint32)), None, None, None) for b, s in p.by_bucket()])
+
+    def answer(group: pa.Table) -> pa.Table:
+        chunks, bucket = group.column("chunk").to_pylist(), group.column("bucket")[0].as_py()
+        halves, times, who = ([], []), ([], []), ([], [])
+        for chunk, blob in zip(chunks, group.column("a").to_pylist()):
+            key, n = _unpacked(blob, U64, np.uint32)
+            halves[chunk & 1].append(np.cumsum(key))
+            times[chunk & 1].append(n)
+            who[chunk & 1].append(chunk)
+        rows = []
+        for mine, found in zip(who, answers(list(halves), list(times))):
+            rows += [(c, bucket, _packed(n), _packed(*kinds), d.tobytes(), None) for c, (n, kinds, d) in zip(mine, found)]
+        return pa.Table.from_batches([table(rows)])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = Distinct()
+
+        def read(batch: pa.RecordBatch) -> tuple[Tokens, np.ndarray, pa.RecordBatch]:
+            batch, langs = _by_lang(batch)
+            data, cuts = text_array(batch.column("text"))
+            tokens, n = Tokens(data, cuts, langs), len(cuts) - 1
+            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[cuts])
+            upto, (code, ends) = sequence_starts(tokens.sizes), _codes(data, cuts)
+            respelled = _spelling_codes(code, tokens.starts, tokens.ends)
+            between, spelling, spelled = np.zeros(n), np.zeros(n), np.zeros(len(tokens.word), np.float32)
+            for lang, a, b in langs:
+                kinds, inverse = distinct.of(np.concatenate((code[cuts[a] : cuts[b]], ends[a:b])))
+                logs = models.value[lang].logs(kinds)[inverse]
+                ending = logs[cuts[b] - cuts[a] :]
+                own = cuts[a : b + 1] - cuts[a]
+                logs = logs[: own[-1]]
+                total = np.concatenate(([0.0], np.cumsum(logs)))
+                spelling[a:b] = -(np.diff(total[own]) + ending) / (np.diff(own) + 1)
+                total = np.concatenate(([0.0], np.cumsum(np.where(SPACE[data[cuts[a] : cuts[b]]], logs, 0.0))))
+                between[a:b] = np.diff(total[own]) + ending  # bytes of words are scored as words
+                kinds, inverse = distinct.of(respelled[cuts[a] : cuts[b]])
+                total = np.concatenate(([0.0], np.cumsum(models.value[lang].logs(kinds)[inverse])))
+                mine = slice(upto[a], upto[b])
+                spelled[mine] = total[tokens.ends[mine] - cuts[a]] - total[tokens.starts[mine] - cuts[a]]
+            between += np.bincount(tokens.row, spelled, n)
+            words, lines, repeats = base_counts(data, cuts)
+            columns = (batch.column("doc_id"), batch.column("lang"), words, sums(_CHARACTER[data]), sums(_SYMBOL[data]), lines, repeats, np.diff(cuts), between, spelling)
+            found = pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, row_type)], schema=row_type)
+            return tokens.slim(), np.clip(np.rint(-spelled * STEPS), 0, 255).astype(np.uint8), found
+
+        for chunk, held in _chunks(batches, read):
+            parts = [x[0] for x in held]
+            docs = pa.Table.from_batches([x[2] for x in held]).combine_chunks()
+            halves, steps = np.concatenate([p.half for p in parts]), np.concatenate([x[1] for x in held])
+            side = np.concatenate([p.half[p.row] for p in parts])
+            for half in (0, 1):
+                mine = np.flatnonzero(halves == half)
+                if not len(mine):
+                    continue
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, row_type, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(docs.take(pa.array(mine)))
+                history, word, row = join(parts, half)
+                if not len(word):
+                    yield table([(chunk | half, -1, None, None, sink.getvalue().to_pybytes(), None)])
                     continue
-                word = hashes.of(flat)
-                _, first, which = np.unique(word, return_index=True, return_inverse=True)
-                spelled = _spelled(models.value[lang], [flat[i] for i in first.tolist()])[which].astype(np.float32)
-                heads = sequence_starts(lengths)[:-1][lengths > 0]
-                before = np.concatenate((word[:1], word[:-1]))
-                before[heads] = 0
-                left = np.concatenate((before[:1], before[:-1]))
-                left[heads] = 0
-                before = mix64(before ^ np.uint64(hashes[b"" if lang is None else b"=" + lang.encode()]))
-                found.append((before, word, left.astype(np.uint32), np.repeat(np.array(rows, np.uint16), lengths), spelled))
-            words, lines, repeats = zip(*map(base_counts, texts))
-            columns = (words, sums(_CHARACTER[data]), sums(_SYMBOL[data]), lines, repeats, list(map(len, texts)))
-            n = len(texts)
-            yield from table(n, chunk=[chunk] * n, bucket=[chunk % buckets] * n, row=range(n), doc_id=batch.column("doc_id").to_pylist(), lang=langs,
-                             logs=logs, spelling=spelling, **dict(zip(names, columns))).to_batches()
-            if found:
-                before, word, left, row, spelled = map(np.concatenate, zip(*found))
-                low = np.uint64(0xFFFFFFFF)
-                bucket, pair = (before & low) % np.uint64(buckets), (before >> np.uint64(32) << np.uint64(32)) | (word & low)
-                order = np.lexsort((left, pair, bucket))
-                bucket, pair, left, row, spelled = bucket[order], pair[order], left[order], row[order], spelled[order]
-                ids, at = np.unique(bucket, return_index=True)
-                blobs = [_packed(np.diff(pair[a:b], prepend=np.uint64(0)), left[a:b], row[a:b], spelled[a:b]) for a, b in zip(at, [*at[1:], len(bucket)])]
-                yield from table(len(ids), chunk=[chunk] * len(ids), bucket=ids.astype(np.int64), pairs=blobs).to_batches()
-
-    def score(group: pa.Table) -> pa.Table:
-        group = group.cast(arrow)
-        sent = group.filter(pc.is_valid(group["pairs"]))
-        rest = group.filter(pc.is_null(group["pairs"]))
-        if not len(sent):
-            return rest
-        parts = [_unpacked(x, np.uint64, np.uint32, np.uint16, np.float32) for x in sent["pairs"].to_pylist()]
-        pair, left, row, spelled = map(np.concatenate, zip(*((np.cumsum(p), x, r.astype(np.int64) | i << 16, s) for i, (p, x, r, s) in enumerate(parts))))
-        docs, logs = pair_logs(pair, left, row, spelled.astype(float))
-        at = np.searchsorted(docs >> 16, np.arange(len(parts) + 1))
-        blobs = [_packed((docs[a:b] & 0xFFFF).astype(np.uint16), logs[a:b].astype(np.float32)) for a, b in zip(at, at[1:])]
-        return pa.concat_tables([rest, table(len(parts), chunk=sent["chunk"].to_pylist(), pairs=blobs)])
+                p = Pairs(history, word, heavy.value, buckets)
+                spelled = np.append(steps[side == half], np.uint8(0))[np.minimum(p.example, len(word))]
+                place = np.searchsorted(mine, row).astype(np.uint32)[p.places]
+                # histories that lie in several buckets, by their places among all histories of the chunk
+                names = p.key[p.new] >> U64(WORD_BITS)
+                kinds, which, n = np.unique(names, return_inverse=True, return_counts=True)
+                several = np.flatnonzero(n[which] > 1) if len(heavy.value[0]) else np.empty(0, np.int64)
+                yield table([(chunk | half, -1, _packed(p.times.astype(np.uint32), p.new.astype(np.uint8), spelled), _packed(place), sink.getvalue().to_pybytes(),
+                              _packed(several.astype(np.uint32), which[several].astype(np.uint32)))])
 
     def gather(group: pa.Table) -> pa.Table:
-        group = group.cast(arrow)
-        rows = group.filter(pc.is_null(group["pairs"])).sort_by("row")
-        logs = rows["logs"].to_numpy().copy()
-        for blob in group["pairs"].drop_null().to_pylist():
-            row, part = _unpacked(blob, np.uint16, np.float32)
-            logs[row] += part
-        logs = -logs / (rows["n_bytes"].to_numpy() + 1)
-        return rows.select(["doc_id", "lang", *names]).append_column("log_perplexity", pa.array(logs)).append_column("log_spelling", rows["spelling"])
+        rows = sorted(group.select(["bucket", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["bucket"])
+        docs, found = rows[0], rows[1:]
+        if docs["bucket"] != -1 or bool(found) != bool(docs["a"]):
+            raise RuntimeError("two scans of the documents gave different batches; write them as a table first")
+        out = pa.ipc.open_stream(docs["c"]).read_all()
+        logs = out["log_perplexity"].to_numpy().copy()
+        if found:
+            times, new, spelled = _unpacked(docs["a"], np.uint32, np.uint8, np.uint8)
+            place, (several, which) = _unpacked(docs["b"], np.uint32)[0], _unpacked(docs["d"], np.uint32, np.uint32)
+            counts = [_unpacked(r["a"], np.uint32)[0] for r in found]
+            kinds = [_unpacked(r["b"], np.uint32, np.uint16) for r in found]
+            cuts = [np.frombuffer(r["c"], float) for r in found]
+            if sum(map(len, counts)) != len(times) or sum(len(x[0]) for x in kinds) != int(new.sum()):
+                raise RuntimeError("two scans of the documents gave different batches; write them as a table first")
+            total = np.concatenate([x[0] for x in kinds]).astype(float)
+            saved = (np.concatenate([x[1] for x in kinds]).astype(np.uint32) << np.uint32(16)).view(np.float32).astype(float)
+            if len(several):
+                for x in (total, saved):
+                    x[several] = np.bincount(which, x[several])[which]
+            each = np.repeat(np.array(cuts), list(map(len, counts)), axis=0)
+            gain = gains(np.concatenate(counts).astype(np.int64), total, saved, each, np.cumsum(new, dtype=np.int64) - 1, spelled / -STEPS)
+            logs += np.bincount(place, np.repeat(gain, times), len(logs))
+        logs = -logs / (out["n_bytes"].to_numpy() + 1)
+        return out.set_column(out.schema.get_field_index("log_perplexity"), "log_perplexity", pa.array(logs))
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, sent)
-    rows = rows.groupBy("bucket").applyInArrow(score, sent).groupBy("chunk").applyInArrow(gather, f"{out}, log_perplexity double, log_spelling double")
+    answered = docs.mapInArrow(count, sent).groupBy("bucket").applyInArrow(answer, sent)
+    rows = answered.unionByName(docs.mapInArrow(describe, sent)).groupBy("chunk").applyInArrow(
+        gather, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in counted) + ", log_perplexity double, log_spelling double"
+    )
     return rows.withColumn("base_failed", failed)
 
 
 def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """measured() with each document's band and verdict."""
     rows = materialize(measured(docs), "quality")
-    p = lambda c: F.percentile_approx(c, [0.16, 0.5, 0.84], 10_000)
+    p = lambda c: F.percentile(F.round(c, 3), [0.16, 0.5, 0.84])
     spread = lambda q: F.greatest((F.col(q)[2] - F.col(q)[0]) / 2, F.lit(LEAST_SPREAD))
     bands = (
         rows.where("not base_failed").groupBy("lang").agg(p("log_perplexity").alias("q"), p("log_spelling").alias("s"))
