@@ -305,13 +305,6 @@ def test_op9(stored, none):
     assert substring.op9_substring(none).count() == 0
 
 
-def test_packed_cells():
-    r = np.random.default_rng(0)
-    for high in (300, 10_000, 10_000_000):
-        cells = np.unique(r.integers(0, high, 3000))
-        assert (substring._unpack(substring._pack(cells)) == cells).all()
-
-
 def components_of(pairs, nodes):
     up = {x: x for x in nodes}
 

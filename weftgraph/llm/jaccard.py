@@ -1,14 +1,19 @@
 """N-gram Jaccard join with signature trees.
 
-Documents with equal shingle sets are one class.  A count-min sketch says which shingles may lie in two documents;
-ordering the others first, a class whose first n - ceil(t n) + 1 shingles are all unique cannot link with anything (prefix
-filter).  Classes that share one of their first shingles form candidate neighbourhoods, which are dealt out in units.
+Documents with equal shingle sets are one class.  In the order of their hashes, the first shingles of two sets that link
+must have some in common (prefix filter): each document counts its first 30 % or so in a count-min sketch in slices
+(sketch.py), and one with too few that may lie in other documents cannot link with anything.  The other classes order
+their shingles by frequency, rare ones first; classes that share one of their first n - ceil(t n) + 1 shingles form
+candidate neighbourhoods, which are dealt out in units.
 In a unit a tree over the classes holds, in each node, the OR of its members' bitmaps and their range of sizes; a
 traversal of pairs of nodes prunes those whose largest possible overlap is too small, and pairs inside one component.
-What is left is counted exactly.
+What is left is counted on the sets of 64-bit shingle hashes.
 
 A neighbourhood above UNIT classes is cut into tiles, and every pair of its tiles is a unit: no task gets an unbounded
-group and no pair is lost.
+group and no pair is lost.  The join returns components, not links: pairs inside a component are not all looked at, so
+it has no number of links for a document.
+
+Rows are told apart by their place in the scan, so docs must be a scan of files or a table that materialize() wrote.
 
 Cases: null or wordless text has an empty set, no links and its own id as component; fewer than five words are one
 shingle; repeated rows share a class; rows with null id take part in their class, and their component is null if all of
@@ -24,79 +29,93 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import U64, WordHashes, materialize, rows_per_batch, sequence_starts, text_bytes, windows_hash
+from .common import U64, materialize, rows_per_batch, sequence_starts, span_hashes, text_array, windows_hash, word_spans
 from .components import Sets, components
-from .substring import FACTORS, Repeated, repeated_cells, sketch_size
+from .sketch import GROUP_ROWS, grouped_texts, may_repeat, numbered, repeated, slices_for, texts_of
+from .substring import FACTORS
 
 SIZE, PERCENT = 5, 80
 #: Classes in a unit, in a leaf and in a node above leaves; bits of a signature.
 UNIT, LEAF, FANOUT, BITS = 512, 4, 8, 1 << 14
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words = [t.lower().split() for t in texts]  # bytes.lower() changes A-Z only
-    starts = sequence_starts(np.fromiter(map(len, words), np.int64, len(words)))
-    every = windows_hash(hashes.of([w for x in words for w in x]), SIZE, FACTORS[0])
-    out = []
-    for x, a, b in zip(words, starts.tolist(), starts[1:].tolist()):
+    data, cuts = text_array(column)
+    data = _LOWER[data]
+    starts, ends, sizes = word_spans(data, cuts)
+    every = windows_hash(span_hashes(data, starts, ends), SIZE, FACTORS[0])
+    first, out = sequence_starts(sizes), []
+    for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
         if b - a >= SIZE:
             out.append(np.unique(every[a : b - SIZE + 1]))
         else:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(x))] if x else [], U64))
+            words = data[cuts[i] : cuts[i + 1]].tobytes().split()
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], U64))
     return out
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (of the set); of candidates only: items, the whole set, packed, mask, which of
-    them may lie in other documents, and first, how many of those belong to the prefix."""
-    spark = docs.sparkSession
-    rows_per_batch(spark, 1024)
-    _, bits = sketch_size(docs)
+def _least_overlap(n: int) -> int:
+    """Shingles that a set of n has in common with any that it links with, at least."""
+    return -(-PERCENT * n // 100)
 
-    def count(texts: list[bytes], hashes: WordHashes) -> np.ndarray:
-        return np.concatenate([*shingle_sets(texts, hashes), np.empty(0, U64)])
 
-    repeated = spark.sparkContext.broadcast(Repeated(repeated_cells(docs, count, bits).toArrow(), bits))
+def counted_prefix(n: int) -> tuple[int, int]:
+    """How many of a set's n shingles, in the order of the hashes, are counted in the sketch, and how many of these must
+    lie in other documents for a link.  With prefixes longer by l than the filter needs, linked sets share l + 1 of their
+    first ones; the partner's prefix is longer by a tenth of its own size, which is at least the least overlap."""
+    return n - _least_overlap(n) + max(1, -(-n // 10)), max(1, -(-_least_overlap(n) // 10))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = shingle_sets(text_bytes(batch.column("text")), hashes)
-            cuts = sequence_starts(np.fromiter(map(len, sets), np.int64, len(sets))).tolist()
-            every = repeated.value.may(np.concatenate([*sets, np.empty(0, U64)]))
-            firsts, masks, items = [], [], []
-            for s, a, b in zip(sets, cuts, cuts[1:]):
-                may = every[a:b]
-                first = len(s) - -(-PERCENT * len(s) // 100) + 1 - int((~may).sum()) if len(s) else 0
-                firsts.append(first if first > 0 and may.any() else None)
-                masks.append(np.packbits(may).tobytes() if firsts[-1] else None)
-                items.append(s.tobytes() if firsts[-1] else None)
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.int64()),
-                 pa.array(masks, pa.binary()), pa.array(items, pa.binary())],
-                ["doc_id", "n", "key", "first", "mask", "items"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, key binary, first long, mask binary, items binary"
-    )
+
+def document_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n, key (of the set); of candidates only: items, the whole set, packed (once for equal sets of neighbouring
+    documents), and first, the length of the prefix."""
+    rows_per_batch(docs.sparkSession, GROUP_ROWS)
+    docs, _ = numbered(docs)
+    texts = grouped_texts(docs)
+    words = max(1, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)  # about; it only sizes things
+    slices = slices_for(3 * words // 10)
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([*(s[: counted_prefix(len(s))[0]] for s in shingle_sets(batch.column("text")) if len(s)), np.empty(0, U64)])
+
+    def decide(texts: pa.Table, found: pa.Table) -> pa.Table:
+        batch = texts_of(texts)
+        sets = shingle_sets(batch.column("text"))
+        parts = [s[: counted_prefix(len(s))[0]] if len(s) else s for s in sets]
+        cuts = sequence_starts(np.fromiter(map(len, parts), np.int64, len(parts))).tolist()
+        may = np.concatenate(([0], np.cumsum(may_repeat(np.concatenate([*parts, np.empty(0, U64)]), slices, found))))
+        rows, known = [], set()
+        for doc_id, s, a, b in zip(batch.column("doc_id").to_pylist(), sets, cuts, cuts[1:]):
+            items = first = None
+            key = xxhash.xxh3_128_digest(s.tobytes())
+            if len(s) and may[b] - may[a] >= counted_prefix(len(s))[1]:
+                first = len(s) - _least_overlap(len(s)) + 1
+                if key not in known:
+                    known.add(key)
+                    items = s.tobytes()
+            rows.append((doc_id, len(s), key, first, items))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["doc_id", "n", "key", "first", "items"])
+
+    found = repeated(docs, count, slices)
+    return texts.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(decide, "doc_id long, n long, key binary, first long, items binary")
 
 
 def _exploded(table: DataFrame) -> DataFrame:
-    """id and token for each item that may lie in other documents."""
+    """id and token for each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for x, mask in zip(batch.column("items").to_pylist(), batch.column("mask").to_pylist()):
-                item = np.frombuffer(x, np.int64)
-                parts.append(item[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(item)).astype(bool)])
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
             ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, parts)))))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], ["id", "token"])
 
-    return table.select("id", "mask", "items").mapInArrow(run, "id long, token long")
+    return table.select("id", "items").mapInArrow(run, "id long, token long")
 
 
 class SignatureTree:
@@ -176,7 +195,7 @@ def _unit_links(table: pa.Table) -> pa.Table:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """classes: id, n, first, mask, items.  Pairs of ids that link: enough of them to give all components."""
+    """classes: id, n, first, items.  Pairs of ids that link: enough of them to give all components."""
     # Rare tokens first: the order is the same for all classes, and those in one class only need no partner.
     tokens = _exploded(classes)
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("k")), "token")
@@ -210,10 +229,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = materialize(document_sets(docs), "shingles")
     some = rows.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("mask").alias("mask"), F.max("items").alias("items")
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("items").alias("items")
     )
     classes = materialize(some.where("id is not null"), "classes")
-    found = components(links(classes.where("mask is not null").select("id", "n", "first", "mask", "items")), "links")
+    found = components(links(classes.where("items is not null").select("id", "n", "first", "items")), "links")
     names = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component_id")
     )

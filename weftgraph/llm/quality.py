@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACE, U64, materialize, mix64, rows_per_batch, sequence_starts, span_hashes, text_array, windows_hash, word_spans
+from .sketch import packed, unpacked
 
 #: Spreads below and above the median that are still kept, the least spread, and the scatter of a mean over n bytes.
 LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 0.7
@@ -222,20 +222,6 @@ def base_counts(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sizes, lines, repeats
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length, byte plane by byte plane, compressed."""
-    return zstandard.ZstdCompressor(1).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns))
-
-
-def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    data, sizes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), [np.dtype(k).itemsize for k in kinds], [], 0
-    n = len(data) // sum(sizes)
-    for kind, size in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    return out
-
-
 def _changes(*keys: np.ndarray) -> np.ndarray:
     """Where any of the keys differs from the one before; the first place counts."""
     new = np.ones(len(keys[0]), bool)
@@ -368,7 +354,7 @@ def gains(count, total, saved, discounts, history, spelled) -> np.ndarray:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, log_perplexity by word pairs and log_spelling by bytes of every document."""
     spark = docs.sparkSession
-    rows_per_batch(spark, 1000)
+    rows_per_batch(spark, 500)
     docs = docs.select(F.col("doc_id").cast("long"), "lang", "text", F.spark_partition_id().alias("part"))
     buckets = max(12, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     fitted, split = statistics(docs, buckets)
@@ -401,19 +387,19 @@ def measured(docs: DataFrame) -> DataFrame:
                 history, word, _ = join(held, half)
                 if len(word):
                     p = Pairs(history, word, heavy.value, buckets)
-                    yield table([(chunk | half, b, _packed(np.diff(p.key[s], prepend=U64(0)), p.times[s].astype(np.uint32)), None, None, None) for b, s in p.by_bucket()])
+                    yield table([(chunk | half, b, packed(np.diff(p.key[s], prepend=U64(0)), p.times[s].astype(np.uint32)), None, None, None) for b, s in p.by_bucket()])
 
     def answer(group: pa.Table) -> pa.Table:
         chunks, bucket = group.column("chunk").to_pylist(), group.column("bucket")[0].as_py()
         halves, times, who = ([], []), ([], []), ([], [])
         for chunk, blob in zip(chunks, group.column("a").to_pylist()):
-            key, n = _unpacked(blob, U64, np.uint32)
+            key, n = unpacked(blob, U64, np.uint32)
             halves[chunk & 1].append(np.cumsum(key))
             times[chunk & 1].append(n)
             who[chunk & 1].append(chunk)
         rows = []
         for mine, found in zip(who, answers(list(halves), list(times))):
-            rows += [(c, bucket, _packed(n), _packed(*kinds), d.tobytes(), None) for c, (n, kinds, d) in zip(mine, found)]
+            rows += [(c, bucket, packed(n), packed(*kinds), d.tobytes(), None) for c, (n, kinds, d) in zip(mine, found)]
         return pa.Table.from_batches([table(rows)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,8 +456,8 @@ def measured(docs: DataFrame) -> DataFrame:
                 names = p.key[p.new] >> U64(WORD_BITS)
                 kinds, which, n = np.unique(names, return_inverse=True, return_counts=True)
                 several = np.flatnonzero(n[which] > 1) if len(heavy.value[0]) else np.empty(0, np.int64)
-                yield table([(chunk | half, -1, _packed(p.times.astype(np.uint32), p.new.astype(np.uint8), spelled), _packed(place), sink.getvalue().to_pybytes(),
-                              _packed(several.astype(np.uint32), which[several].astype(np.uint32)))])
+                yield table([(chunk | half, -1, packed(p.times.astype(np.uint32), p.new.astype(np.uint8), spelled), packed(place), sink.getvalue().to_pybytes(),
+                              packed(several.astype(np.uint32), which[several].astype(np.uint32)))])
 
     def gather(group: pa.Table) -> pa.Table:
         rows = sorted(group.select(["bucket", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["bucket"])
@@ -481,10 +467,10 @@ def measured(docs: DataFrame) -> DataFrame:
         out = pa.ipc.open_stream(docs["c"]).read_all()
         logs = out["log_perplexity"].to_numpy().copy()
         if found:
-            times, new, spelled = _unpacked(docs["a"], np.uint32, np.uint8, np.uint8)
-            place, (several, which) = _unpacked(docs["b"], np.uint32)[0], _unpacked(docs["d"], np.uint32, np.uint32)
-            counts = [_unpacked(r["a"], np.uint32)[0] for r in found]
-            kinds = [_unpacked(r["b"], np.uint32, np.uint16) for r in found]
+            times, new, spelled = unpacked(docs["a"], np.uint32, np.uint8, np.uint8)
+            place, (several, which) = unpacked(docs["b"], np.uint32)[0], unpacked(docs["d"], np.uint32, np.uint32)
+            counts = [unpacked(r["a"], np.uint32)[0] for r in found]
+            kinds = [unpacked(r["b"], np.uint32, np.uint16) for r in found]
             cuts = [np.frombuffer(r["c"], float) for r in found]
             if sum(map(len, counts)) != len(times) or sum(len(x[0]) for x in kinds) != int(new.sum()):
                 raise RuntimeError("two scans of the documents gave different batches; write them as a table first")

@@ -1,13 +1,14 @@
 """Substring dedup: a count-min prefilter, then exact groups of the windows that it estimates repeated.
 
-Pass 1: each partition counts its windows of `width` words in a sketch of DEPTH rows and sends its non-empty cells, slice
-by slice; slices merge by adding.  Counts only ever overestimate, so a window whose least cell is below 2 is unique.
+Pass 1: the anchor of a window of `width` words is the leftmost smallest hash of the ANCHOR-word strings in it, so equal
+windows have equal anchors, at different places.  Groups of documents count their anchors (one in about a dozen words) in
+sketches that merge by adding, slice by slice (sketch.py).  Counts only ever overestimate, so windows whose anchor counts
+below 2 are unique: none that repeats is lost.
 Pass 2: windows estimated repeated are grouped exactly, by 96 bits of two independent hashes; windows that repeat inside
-one batch are decided there and sent once, so no group grows beyond the number of batches.
+one group of documents are decided there and sent once, so none grows beyond the number of groups.
 Pass 3: the marks meet their documents again, in groups of neighbouring rows, and covered words go.
 
-The merged sketch that is broadcast has DEPTH * 2^28 bits at most.  Beyond the load for which that is enough, more
-windows go through the exact pass: slower, never wrong.
+Rows are told apart by their place in the scan, so docs must be a scan of files or a table that materialize() wrote.
 
 Cases: null text has no words; texts shorter than the window lose nothing; repeated rows are documents of their own and
 lose all their windows; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -15,164 +16,66 @@ lose all their windows; null ids are kept; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, WordHashes, expand, rows_per_batch, sequence_starts, text_bytes, windows_hash
+from .common import U64, expand, rows_per_batch, sequence_starts, span_hashes, text_array, text_bytes, windows_hash, word_spans
+from .sketch import GROUP_ROWS, grouped_texts, may_repeat, numbered, repeated, slices_for, texts_of
 
-WIDTH, DEPTH, SLICES, MOST_BITS = 35, 2, 64, 28
-#: Neighbouring rows that meet again in pass 3: 2 ** GROUP.
-GROUP = 10
+WIDTH, ANCHOR = 35, 12
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with rid: its place in the scan, the same in every pass over the same files."""
-    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("rid"))
-
-
-def _windows(texts: list[bytes], width: int, hashes: WordHashes, factors=FACTORS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of all windows in these texts: the text's number, the first word's number, and one hash a factor."""
-    words = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    every = hashes.of([w for x in words for w in x])
-    starts, n = sequence_starts(sizes)[:-1], np.maximum(sizes - width + 1, 0)
-    at = expand(starts, n)
-    doc = np.repeat(np.arange(len(texts)), n)
-    return doc, at - starts[doc], [windows_hash(every, width, f)[at] if len(at) else np.empty(0, U64) for f in factors]
-
-
-def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """Cell of each window in a row of the sketch: other bits of the hash for each row."""
-    return (h >> U64(64 - bits) if row == 0 else h & U64((1 << bits) - 1)).astype(np.int64)
-
-
-def _pack(cells: np.ndarray) -> bytes:
-    """Sorted, distinct numbers as differences of one byte, or 255 and four bytes."""
-    gaps = np.diff(cells, prepend=-1) - 1
-    large = gaps >= 255
-    out = np.zeros(len(gaps) + 4 * int(large.sum()), np.uint8)
-    at = np.arange(len(gaps)) + 4 * (np.cumsum(large) - large)
-    out[at] = np.minimum(gaps, 255)
-    wide = at[large]
-    for k in range(4):
-        out[wide + 1 + k] = (gaps[large] >> (8 * k)) & 255
-    return out.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64)
-    marks = np.flatnonzero(raw == 255)
-    wide, upto = [], -1
-    for m in marks.tolist():  # a 255 inside four bytes is no mark
-        if m > upto:
-            wide.append(m)
-            upto = m + 4
-    wide = np.array(wide, np.int64)
-    keep = np.ones(len(raw), bool)
-    for k in range(1, 5):
-        keep[wide + k] = False
-    gaps = raw.astype(np.int64)
-    for m, k in ((wide, 0),):
-        gaps[m] = sum(raw[m + 1 + k].astype(np.int64) << (8 * k) for k in range(4)) if len(m) else gaps[m]
-    return np.cumsum(gaps[keep] + 1) - 1
-
-
-def repeated_cells(docs: DataFrame, hashed: Callable[[list[bytes], WordHashes], np.ndarray], bits: int, together: int = 4_000_000) -> DataFrame:
-    """part (row and slice) and the bitmap of cells that at least two hashes fall into, from merged partition sketches.
-
-    hashed: the 64-bit hashes that a batch of texts counts.
-    """
-    span = 1 << max(0, bits - 6)  # cells of one of SLICES slices
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
-            rows: list[tuple] = []
-            for row in range(DEPTH):
-                cells, count = np.unique(_cells(h, row, bits), return_counts=True)
-                cuts = np.searchsorted(cells, np.arange(SLICES + 1) * span)
-                for s in range(SLICES):
-                    part, many = cells[cuts[s] : cuts[s + 1]] - s * span, count[cuts[s] : cuts[s + 1]] > 1
-                    if len(part):
-                        rows.append((row * SLICES + s, _pack(part), _pack(part[many])))
-            if rows:
-                kinds = (pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "cells", "more"])
-
-        for batch in batches:
-            h = hashed(text_bytes(batch.column("text")), hashes)
-            held.append(h)
-            n += len(h)
-            if n >= together:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        count = np.zeros(span, np.uint8)
-        for cells, more in zip(table.column("cells").to_pylist(), table.column("more").to_pylist()):
-            for part in (_unpack(cells), _unpack(more)):
-                count[part] = np.minimum(count[part] + 1, 2)
-        return pa.table({"part": table.column("part")[:1], "bitmap": pa.array([np.packbits(count >= 2).tobytes()], pa.binary())})
-
-    sent = docs.select("text").mapInArrow(sketch, "part int, cells binary, more binary")
-    return sent.groupBy("part").applyInArrow(merge, "part int, bitmap binary")
-
-
-class Repeated:
-    """The merged sketch: which hashes may be of repeated windows."""
-
-    def __init__(self, parts: pa.Table, bits: int):
-        self.bits, span = bits, 1 << max(0, bits - 6)
-        self.rows = [np.zeros(SLICES * span // 8 or 1, np.uint8) for _ in range(DEPTH)]
-        for part, bitmap in zip(parts.column("part").to_pylist(), parts.column("bitmap")):
-            row, s = divmod(part, SLICES)
-            bitmap = np.frombuffer(bitmap.as_buffer(), np.uint8)
-            self.rows[row][s * len(bitmap) : (s + 1) * len(bitmap)] = bitmap
-
-    def may(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for row, bitmap in enumerate(self.rows):
-            cell = _cells(h, row, self.bits)
-            out &= bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 1
-        return out
-
-
-def sketch_size(docs: DataFrame) -> tuple[int, int]:
-    """About how many words the texts have, by their bytes, and the bits of a cell's number: both only size things."""
-    words = max(1, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
-    return words, min(MOST_BITS, max(12, (2 * words).bit_length()))
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def leftmost_least(values: np.ndarray, n: int) -> np.ndarray:
+    """For every n neighbouring values, the place of the first smallest."""
+    best, size = np.arange(len(values)), 1
+    while size < n:
+        step = min(size, n - size)
+        a, b = best[: len(best) - step], best[step:]
+        best = np.where(values[a] <= values[b], a, b)
+        size += step
+    return best
+
+
+class Windows:
+    """All windows of some texts: the text's number, the first word's number in its text and in all, and the anchor."""
+
+    def __init__(self, data: np.ndarray, cuts: np.ndarray, width: int):
+        starts, ends, sizes = word_spans(data, cuts)
+        self.word = span_hashes(data, starts, ends)
+        n, anchor = np.maximum(sizes - width + 1, 0), min(ANCHOR, width)
+        first = sequence_starts(sizes)[:-1]
+        self.at = expand(first, n)
+        self.doc = np.repeat(np.arange(len(sizes)), n)
+        self.start = self.at - first[self.doc]
+        if len(self.at):
+            grams = windows_hash(self.word, anchor, FACTORS[0])
+            place = leftmost_least(grams, width - anchor + 1)[self.at]
+            self.anchor = grams[place]
+            self.counted = self.anchor[np.flatnonzero(np.diff(place, prepend=-1))]
+        else:
+            self.anchor = self.counted = np.empty(0, U64)
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, width: int, shift: int) -> DataFrame:
     """group, rids, starts: the windows (document's rid, first word) whose word sequence starts elsewhere too.
 
-    docs: numbered(); rids and starts are packed arrays.
+    docs: numbered(); texts: grouped_texts(docs); rids and starts are packed arrays.
     """
-    spark = docs.sparkSession
-    windows, bits = sketch_size(docs)
-    count = lambda texts, hashes: _windows(texts, width, hashes, FACTORS[:1])[2][0]
-    repeated = spark.sparkContext.broadcast(Repeated(repeated_cells(docs, count, bits).toArrow(), bits))
-    buckets = max(16, windows // 1_000_000)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            doc, start, (h, g) = _windows(text_bytes(batch.column("text")), width, hashes)
-            rid = batch.column("rid").to_numpy()
-            at = np.flatnonzero(repeated.value.may(h))
-            if not len(at):
-                continue
-            h, g, rid, start = h[at], g[at] & U64(0xFFFFFFFF), rid[doc[at]], start[at]
+    windows = max(1, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)  # about; it only sizes things
+    slices, buckets = slices_for(windows // 12), max(16, windows // 1_000_000)
+    found = repeated(docs, lambda batch: Windows(*text_array(batch.column("text")), width).counted, slices)
+
+    def candidates(texts: pa.Table, found: pa.Table) -> pa.Table:
+        batch = texts_of(texts)
+        w = Windows(*text_array(batch.column("text")), width)
+        at = np.flatnonzero(may_repeat(w.anchor, slices, found))
+        rows, rid = [], batch.column("rid").to_numpy()
+        if len(at):
+            h, g = (windows_hash(w.word, width, f)[w.at[at]] for f in FACTORS)
+            doc, start = w.doc[at], w.start[at]
+            g, rid = g & U64(0xFFFFFFFF), rid[doc]
             by = np.lexsort((g, h))
             h, g, rid, start = h[by], g[by], rid[by], start[by]
             new = np.ones(len(h), bool)
@@ -185,7 +88,6 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             key, low, many, bucket, first = key[order], low[order], many[order], bucket[order], first[order]
             some, cuts = np.unique(bucket, return_index=True)
-            rows = []
             known = np.flatnonzero(sure)
             for k, (b, i, j) in enumerate(zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])):
                 part, own = slice(i, j), known[k :: len(some)]  # decided windows only pass through: dealt evenly
@@ -193,8 +95,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 rows.append((b, int(base), key[part].tobytes(), low[part].tobytes(), many[part].tobytes(),
                              (rid[f] - base).astype(np.uint32).tobytes(), start[f].astype(np.uint32).tobytes(),
                              (rid[own] - base).astype(np.uint32).tobytes(), start[own].astype(np.uint32).tobytes()))
-            kinds = (pa.int64(), pa.int64()) + (pa.binary(),) * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        kinds = (pa.int64(), pa.int64()) + (pa.binary(),) * 7
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, kinds)], names)
 
     names = ["bucket", "base", "key", "low", "many", "rid", "start", "sure_rid", "sure_start"]
 
@@ -219,14 +121,14 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         start = np.concatenate((start[yes], column("sure_start", np.uint32)))
         by = np.lexsort((start, rid))
         rid, start = rid[by], start[by]
-        group = rid >> GROUP
+        group = rid >> shift
         cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)) if len(group) else [0]
         rows = [(int(group[a]), rid[a:b].tobytes(), start[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
         columns = list(zip(*rows)) or [(), (), ()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("group", "rids", "starts"), columns, (pa.int64(), pa.binary(), pa.binary()))})
 
     schema = "bucket long, base long, key binary, low binary, many binary, rid binary, start binary, sure_rid binary, sure_start binary"
-    sent = docs.select("text", "rid").mapInArrow(candidates, schema)
+    sent = texts.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(candidates, schema)
     return sent.groupBy("bucket").applyInArrow(decide, "group long, rids binary, starts binary")
 
 
@@ -240,11 +142,13 @@ def _cover(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of every document, joined by spaces."""
-    rows_per_batch(docs.sparkSession, 1 << GROUP)
-    docs = numbered(docs)
-    marks = repeated_windows(docs, width)
+    rows_per_batch(docs.sparkSession, GROUP_ROWS)
+    docs, shift = numbered(docs)
+    texts = grouped_texts(docs)
+    marks = repeated_windows(docs, texts, width, shift)
 
-    def clean(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def clean(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = texts_of(texts)
         rid = np.frombuffer(b"".join(marks.column("rids").to_pylist()), np.int64)
         start = np.frombuffer(b"".join(marks.column("starts").to_pylist()), np.uint32).astype(np.int64)
         by = np.argsort(rid, kind="stable")
@@ -260,8 +164,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_words", "n_removed", "kept"), list(zip(*out)) or [()] * 4, kinds)})
 
-    left = docs.withColumn("group", F.shiftright("rid", GROUP))
-    return left.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(
+    return texts.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(
         clean, "doc_id long, n_words long, n_removed long, kept string"
     )
 

@@ -3,9 +3,10 @@
 Which texts share a 100-byte string is found in two steps.
 
 1. Anchors.  The smallest hash of the 24-byte strings inside a window is the window's anchor: equal windows have equal
-   anchors.  Neighbouring windows with one anchor form a stretch, of about 140 bytes.  A count-min sketch of anchors
-   drops stretches whose anchor occurs once in the corpus; none that could hold a repeated window is lost.  The others
-   are dealt out by anchor, so equal windows meet in one bucket; equal stretches of a batch are sent once.
+   anchors.  Neighbouring windows with one anchor form a stretch, of about 140 bytes.  A count-min sketch of anchors, in
+   slices (sketch.py), drops stretches whose anchor occurs once in the corpus; none that could hold a repeated window is
+   lost.  The others are dealt out by anchor, so equal windows meet in one bucket; equal stretches of a group of
+   neighbouring documents are sent once.
 2. Suffix array.  A bucket's distinct stretches form one text.  Its suffixes are grouped by their Lyndon prefixes,
    using next-smaller pointers (the mirror image of previous-smaller ones); the groups' order is the order of the
    prefixes.  Then one scan from the smallest suffix on emits each group in order: a suffix follows its group's
@@ -18,15 +19,14 @@ order of the scan; a null id comes before all others; an empty table gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, expand, rows_per_batch, sequence_starts, text_bytes, windows_hash
-from .substring import FACTORS, GROUP, MOST_BITS, Repeated, numbered, repeated_cells
+from .sketch import GROUP_ROWS, grouped_texts, may_repeat, numbered, repeated, slices_for, texts_of
+from .substring import FACTORS
 
 LENGTH, ANCHOR = 100, 24
 #: Windows of one stretch at most; bytes of input for each bucket; bytes that are hashed together.
@@ -222,23 +222,22 @@ def repeated_in(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return own[some], order[some] - starts[own[some]], np.cumsum(~link[:-1])[some]
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """group, rids, starts, sizes: byte ranges of documents (by rid) that strings starting earlier cover; packed."""
-    spark = docs.sparkSession
+def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -> DataFrame:
+    """group, rids, starts, sizes: byte ranges of documents (by rid) that strings starting earlier cover; packed.
+
+    docs: numbered(); texts: grouped_texts(docs).
+    """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(12, (total // 8).bit_length()))  # about six cells an anchor; only sizes the sketch
-    count = lambda texts, _: _anchors(texts, length)
-    repeated = spark.sparkContext.broadcast(Repeated(repeated_cells(docs, count, bits).toArrow(), bits))
-    buckets = max(16, total // BUCKET)
+    slices, buckets = slices_for(total // 40), max(16, total // BUCKET)
+    found = repeated(docs, lambda batch: _anchors(text_bytes(batch.column("text")), length), slices)
     kinds = {"bucket": "long", **dict.fromkeys(("digest", "size", "bytes", "id", "rid", "start", "sure_rid", "sure_start", "sure_size"), "binary")}
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            raw, doc, at, size, anchor, _ = stretches(texts, length)
-            keep = np.flatnonzero(repeated.value.may(anchor))
-            if not len(keep):
-                continue
+    def candidates(joined: pa.Table, found: pa.Table) -> pa.Table:
+        batch, rows = texts_of(joined), []
+        texts = text_bytes(batch.column("text"))
+        raw, doc, at, size, anchor, _ = stretches(texts, length)
+        keep = np.flatnonzero(may_repeat(anchor, slices, found))
+        if len(keep):
             doc, at, size, anchor = doc[keep], at[keep], size[keep], anchor[keep]
             ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()[doc]
             rid = batch.column("rid").to_numpy()[doc]
@@ -249,19 +248,17 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             d = digest[order]
             new = np.ones(len(order), bool)
             new[1:] = (d[1:] != d[:-1]).any(1)
-            first, sure = order[new], order[~new]  # later equal stretches of a batch are decided
+            first, sure = order[new], order[~new]  # later equal stretches of a group are decided
             bucket = (anchor[first] % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             first, bucket = first[by], bucket[by]
             some, cuts = np.unique(bucket, return_index=True)
-            rows = []
             for k, (b, f) in enumerate(zip(some.tolist(), np.split(first, cuts[1:]))):
                 s = sure[k :: len(some)]  # decided ones only pass through: dealt evenly
                 rows.append((b, digest[f].tobytes(), size[f].astype(np.uint32).tobytes(), b"".join([pieces[i] for i in f.tolist()]),
                              ids[f].tobytes(), rid[f].tobytes(), start[f].tobytes(), rid[s].tobytes(), start[s].tobytes(), size[s].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(zip(*rows), kinds.values())], list(kinds)
-            )
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.table([pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(columns, kinds.values())], list(kinds))
 
     def decide(table: pa.Table) -> pa.Table:
         def column(name: str, kind) -> np.ndarray:
@@ -294,23 +291,25 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         r, a, s = (np.concatenate([m[k] for m in marks]) for k in range(3))
         by = np.argsort(r, kind="stable")
         r, a, s = r[by], a[by], s[by]
-        group = r >> GROUP
+        group = r >> shift
         cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)) if len(group) else [0]
         rows = [(int(group[x]), r[x:y].tobytes(), a[x:y].tobytes(), s[x:y].tobytes()) for x, y in zip(cuts, cuts[1:])]
         columns = list(zip(*rows)) or [()] * 4
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("group", "rids", "starts", "sizes"), columns, (pa.int64(),) + (pa.binary(),) * 3)})
 
-    sent = docs.select("doc_id", "rid", "text").mapInArrow(candidates, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    sent = texts.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(candidates, ", ".join(f"{n} {k}" for n, k in kinds.items()))
     return sent.groupBy("bucket").applyInArrow(decide, "group long, rids binary, starts binary, sizes binary")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of every document."""
-    rows_per_batch(docs.sparkSession, 1 << GROUP)
-    docs = numbered(docs)
-    marks = repeated_bytes(docs, length)
+    rows_per_batch(docs.sparkSession, GROUP_ROWS)
+    docs, shift = numbered(docs)
+    texts = grouped_texts(docs)
+    marks = repeated_bytes(docs, texts, length, shift)
 
-    def clean(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def clean(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = texts_of(texts)
         rid, start, size = (np.frombuffer(b"".join(marks.column(c).to_pylist()), np.int64) for c in ("rids", "starts", "sizes"))
         by = np.argsort(rid, kind="stable")
         rid, start, size = rid[by], start[by], size[by]
@@ -330,8 +329,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         names, kinds = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept"), (pa.int64(),) * 4 + (pa.binary(),)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, list(zip(*out)) or [()] * 5, kinds)})
 
-    left = docs.withColumn("group", F.shiftright("rid", GROUP))
-    return left.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(
+    return texts.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(
         clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
