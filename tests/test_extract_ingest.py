@@ -61,21 +61,40 @@ def test_complexity_and_patterns():
 
     code = "def f(a, b):\n    if a and b:\n        for x in a:\n            pass\n    elif b:\n        pass\n    return [y for y in a if y]\n"
     assert python_facts.complexity(ast.parse(code).body[0]) == 4
-    f = python_facts.FileFacts("p/s.py", "a = Factory()\nb = c = Builder()\nx, y = Alpha(), Beta()\nif (z := Gamma()):\n    pass\nitems = [Delta() for _ in range(5)]\nres = Zeta() + 1\nh = obj.m\n")
+    lines = ("one = Motor()", "two = three = Wheel()", "left, right = Door(), Window()", "while (seat := Seat()):", "    break", "bolts = [Bolt(k) for k in names]", "price = Price(1) * 2", "turn = one.turn")
+    f = python_facts.FileFacts("car/parts.py", "\n".join(lines) + "\n")
     f.run()
-    assert f.types == {"a": "Factory", "b": "Builder", "c": "Builder", "x": "Alpha", "y": "Beta", "z": "Gamma", "items": "Delta", "res": "Zeta"} and f.methods == {"h": "obj.m"}
-    g = python_facts.FileFacts("src/current/file.py", "import pkg.module\nimport pandas as pd\nfrom .sub.mod import Thing, Other as Alias\nfrom datetime import datetime\n")
+    assert f.types == {"one": "Motor", "two": "Wheel", "three": "Wheel", "left": "Door", "right": "Window", "seat": "Seat", "bolts": "Bolt", "price": "Price"} and f.methods == {"turn": "one.turn"}
+    g = python_facts.FileFacts("car/body/paint.py", "import tools.brush\nimport colours as cs\nfrom .shade.dark import Black, Grey as Dull\nfrom mixer import blend\n")
     g.run()
-    assert g.imports == {"pkg": "pkg/module", "pd": "pandas", "Thing": "src/current/sub/mod/Thing", "Alias": "src/current/sub/mod/Other", "datetime": "datetime/datetime"}
+    assert g.imports == {"tools": "tools/brush", "cs": "colours", "Black": "car/body/shade/dark/Black", "Dull": "car/body/shade/dark/Grey", "blend": "mixer/blend"}
     assert python_facts.masked("é٣ x→") == "x0 x_" and python_facts.comments("x = 1  # hi\n") == ["hi"] and python_facts.syntax_tree("x=1")["type"] == "Module"
 
 
 def test_collect(spark, tmp_path):
-    for p in ("src/app.py", ".venv/x.py", "build/y.py", "src/.hidden.py", "src/note.txt"):
+    for p in ("src/app.py", ".venv/x.py", "build/y.py", "src/.hidden.py", "src/note.txt", "src/__init__.py", "src/_private.py", "src/_inner/b c.py"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b"a = '\xff'\n")
     got = sources.python_files(spark, str(tmp_path)).collect()
-    assert [(r.file_path, r.content) for r in got] == [("src/app.py", "a = ''\n")]
+    assert {(r.file_path, r.content) for r in got} == {(f"src/{x}", "a = ''\n") for x in ("app.py", "__init__.py", "_private.py", "_inner/b c.py")}
+    assert all(r.modified is not None for r in got) and sources.go_files(spark, str(tmp_path)).count() == 0
+    (tmp_path / "_cmd").mkdir()
+    for name in ("main.go", "main_test.go"):
+        (tmp_path / "_cmd" / name).write_text("package main\n")
+    assert [r.file_path for r in sources.go_files(spark, str(tmp_path), tests=False).collect()] == ["_cmd/main.go"] and sources.go_files(spark, str(tmp_path)).count() == 2
+
+
+def test_names_resolve_in_ranks(spark):
+    files = {
+        "a/util.py": "def go():\n    return 1\n\n\ndef only():\n    return 1\n",
+        "b/util.py": "def go():\n    return 2\n",
+        "b/pack/__init__.py": "class Held:\n    def act(self):\n        return 1\n",
+        "z.py": "import b.util as u\nfrom b.pack import Held\n\n\ndef one():\n    return u.go()\n\n\ndef two():\n    return go()\n\n\ndef three():\n    return Held()\n\n\ndef four(x):\n    return x.act()\n",
+    }
+    _, edges = extract.snapshot(spark.createDataFrame(list(files.items()), "file_path string, content string"), "t", "r", "c")
+    got = {(short(r.source_id), r.relation_type, short(r.target_id)) for r in edges.collect()}
+    assert {("z.py::one", "CALLS", "b/util.py::go"), ("z.py::two", "CALLS", "b/util.py::go"), ("z.py::three", "INSTANTIATES", "b/pack/__init__.py::Held"),
+            ("z.py::four", "CALLS", "b/pack/__init__.py::Held.act"), ("z.py::_file_", "IMPORTS", "b/pack/__init__.py::Held")} <= got
 
 
 def body(**over):
@@ -123,8 +142,16 @@ def test_retries(spark, tmp_path):
     e = engine(spark, tmp_path / "s", build=broken)
     e.sleep = waits.append
     e.index_repository("k", "a", "r", "c", {"m.py": "x = 1"})
-    got = [e.process_once()["status"] for _ in range(4)]
-    assert got == [ingest.RETRYING] * 3 + [ingest.FAILED] and waits == [2, 4, 8] and e.quotas.slots["a"] == 0
+    got = [e.process_once()["status"] for _ in range(3)]  # the third try of three is the last
+    assert got == [ingest.RETRYING] * 2 + [ingest.FAILED] and waits == [2, 4] and e.quotas.slots["a"] == 0 and e.process_once() is None
+
+
+def test_a_completed_job_is_skipped(spark, tmp_path):
+    e = engine(spark, tmp_path / "s")
+    e.index_repository("k", "a", "r", "c", {"m.py": "x = 1"})
+    e.queue.append(e.queue[0])
+    assert [e.process_once()["status"] for _ in range(2)] == [ingest.COMPLETED, ingest.SKIPPED]
+    assert [r["status"] for r in e.status.values()] == [ingest.SKIPPED]
 
 
 def test_stream_dedup_and_worker(spark, tmp_path):

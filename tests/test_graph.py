@@ -57,11 +57,12 @@ def test_pages_join_up(spark):
         query.page(nodes, ("id",), -1)
 
 
-@pytest.mark.parametrize("n, rank", [(1, 1), (2, 1), (20, 19), (100, 95)])
-def test_rank_percentile(spark, n, rank):
-    cases = spark.range(1, n + 1).select(F.col("id").cast("double").alias("latency_ms"))
-    assert evidence.large_rank_percentile(cases, "latency_ms") == rank
-    assert cases.agg(evidence.rank_percentile("latency_ms")).first()[0] == rank
+def test_rank_percentiles(spark):
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 20), ("d", 100)) for v in range(1, n + 1)]
+    rows += [("e", 5.0)] * 50 + [("e", 9.0)] + [("f", None), (None, 3.0), ("g", float("nan")), ("g", 1.0), ("g", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.v for r in evidence.rank_percentiles(df, ["g"], "v").collect()}
+    assert got == {"a": 1, "b": 1, "c": 19, "d": 95, "e": 5.0, None: 3.0, "g": 2.0}
 
 
 def test_report(spark):

@@ -27,17 +27,17 @@ def calls_of(spark, tmp_path):
 
 def test_paths_from_every_entry(spark, tmp_path):
     d, want = calls_of(spark, tmp_path)
-    got = catalog.queries()["long_paths_all"](spark, d).collect()
+    got = catalog.queries()["long_paths"](spark, d).collect()
     assert sorted(r.path for r in got) == sorted(map(">".join, want))
     assert {r.path.split(">")[0] for r in got} == {f"{ID}File|customer/{i}" for i in (1, 2)}
     top = sorted(want, key=lambda x: (-len(x), x))[: len(want) // 5 if len(want) > 25 else len(want)]
-    assert sorted(r.path for r in catalog.queries()["longest_paths_all"](spark, d).collect()) == sorted(map(">".join, top))
+    assert sorted(r.path for r in catalog.queries()["longest_paths"](spark, d).collect()) == sorted(map(">".join, top))
     shared = Counter()
     for a, b in combinations(top, 2):
         both = [x for x in a if x in b]
         if len(both) >= 3:
             shared[">".join(both)] += 1
-    assert {r.common_path: r.n for r in catalog.queries()["common_subpaths_all"](spark, d).collect()} == shared
+    assert {r.common_path: r.n for r in catalog.queries()["common_subpaths"](spark, d).collect()} == shared
 
 
 def test_members_and_coverage_of_every_row(spark, tmp_path):
@@ -46,8 +46,8 @@ def test_members_and_coverage_of_every_row(spark, tmp_path):
                supplier=("s_suppkey int, s_nationkey int, s_name string", [(5, 0, "x"), (25, 1, "y"), (900, 1, "z")]),
                part=("p_partkey int, p_size int", [(1, 7), (2, 8), (3, 50)]), lineitem=("l_partkey int, l_quantity double", [(2, 46.0), (2, 50.0), (2, 45.0), (1, 1.0)]))
     owned = [("struct:5", "function:1"), *((f"struct:{s}", f"function:{c}") for s in (25, 900) for c in (2, 3))]
-    assert sorted(tuple(r) for r in catalog.queries()["staged_members_all"](spark, d).collect()) == sorted(owned)
-    assert sorted(tuple(r) for r in catalog.queries()["coverage_check_all"](spark, d).collect()) == [(1, 0, False), (2, 2, True), (3, 0, False)]
+    assert sorted(tuple(r) for r in catalog.queries()["staged_members"](spark, d).collect()) == sorted(owned)
+    assert sorted(tuple(r) for r in catalog.queries()["coverage_check"](spark, d).collect()) == [(1, 0, False), (2, 2, True), (3, 0, False)]
 
 
 def test_texts_are_read_whole(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_texts_are_read_whole(spark, tmp_path):
     d = tables(spark, tmp_path, pages=("page_id int, html string", [(1, html), (2, html + "y"), (3, None), (4, "a/b")]),
                documents=("doc_id int, source string, text string", [(1, "web", "a" * 60 + " Test"), (2, "web", "b" * 60 + " config"), (3, "web", "c"), (4, "web", "d" * 60 + "doc")]))
     key = lambda x: "_p_" + "x" * 222 + "_" + md5(x.encode()).hexdigest()[:8] + "_trunc"
-    got = {r.page_id: r.path_key for r in catalog.queries()["path_keys_whole"](spark, d).collect()}
+    got = {r.page_id: r.path_key for r in catalog.queries()["path_keys"](spark, d).collect()}
     assert got == {1: key(html), 2: key(html + "y"), 3: None, 4: "a_b"}
-    kinds = {r.doc_id: r.module_type for r in catalog.queries()["file_entities_whole"](spark, d).collect()}
+    kinds = {r.doc_id: r.module_type for r in catalog.queries()["file_entities"](spark, d).collect()}
     assert kinds == {1: "test", 2: "config", 3: "source", 4: "documentation"}

@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-
-def rank_percentile(value: str, share: float = 0.95) -> Column:
-    """The value at 1-based rank max(int(n * share), 1), without interpolation.  For groups that fit one row."""
-    every = F.sort_array(F.collect_list(value))
-    return F.element_at(every, F.greatest(F.floor(F.count(value) * F.lit(share)), F.lit(1)).cast("int"))
-
-
-def large_rank_percentile(cases: DataFrame, value: str, share: float = 0.95) -> float | None:
-    """The same value for any number of rows: the rank is found by counting per range of values, then inside one range,
-    so no list and no global sort is built."""
-    rows = cases.select(F.col(value).alias("v")).where("v is not null")
-    n = rows.count()
-    if not n:
-        return None
-    rank = max(int(n * share), 1)
-    while True:
-        low, high, size = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
-        if low == high:
-            return low
-        if size <= 1_000_000:
-            return rows.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
-        bucket = F.least(F.lit(999), F.floor((F.col("v") - low) / (high - low) * 1000))
-        for b, count in sorted(rows.groupBy(bucket.alias("b")).count().collect()):  # 1000 rows at most
-            if rank <= count:
-                rows = rows.where(bucket == b)
-                break
-            rank -= count
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..functions.lineage import cut
+
+
+def rank_percentiles(rows: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """by, value: of each group the value at 1-based rank max(int(n * share), 1), without interpolation; nulls left out.
+
+    Equal values are counted first and dealt out by ranges of group and value, so a group lies in many tasks; its ranks
+    are the counts before each range, one row a range, plus running counts inside it.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counted = cut(counted.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    ranges = counted.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"))
+    whole = W.partitionBy(*by)
+    ranges = ranges.select(
+        *(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), F.sum("_n").over(whole).alias("_all"),
+        (F.sum("_n").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    inside = F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    upto = counted.withColumn("_upto", inside).join(ranges, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    rank = F.greatest(F.floor(F.col("_all") * F.lit(share)), F.lit(1))
+    return upto.where(F.col("_upto") >= rank).groupBy(*by).agg(F.min(value).alias(value))
 
 
 def failure_taxonomy(cases: DataFrame) -> DataFrame:
@@ -47,8 +44,9 @@ def report(cases: DataFrame, month: str | None = None) -> DataFrame:
     )
     counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure_type", "cases"))))
     failures = failure_taxonomy(cases).agg(F.coalesce(counts, F.create_map().cast("map<string,bigint>")).alias("failure_taxonomy"))
+    p95 = rank_percentiles(cases.select(F.lit(0).alias("one"), "latency_ms"), ["one"], "latency_ms").select("latency_ms").first()
     return head.crossJoin(failures).select(  # two one-row aggregates
-        F.lit(month).alias("month"), "*", F.lit(large_rank_percentile(cases, "latency_ms")).alias("p95_latency_ms")
+        F.lit(month).alias("month"), "*", F.lit(p95[0] if p95 else None).cast("double").alias("p95_latency_ms")
     )
 
 

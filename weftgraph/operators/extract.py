@@ -43,32 +43,47 @@ def nodes(facts: DataFrame, tenant: str, repo: str, commit: str) -> DataFrame:
     return own.unionByName(more)
 
 
-def resolved(wanted: DataFrame, known: DataFrame, last_resort: bool = False) -> DataFrame:
-    """wanted (id, file_path, chain, via, module) with the best entity for its chain: t_*.
+def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted (id, fact, file_path, chain, via, module) with the best entity for its chain: t_*.
 
-    In ranks: the same file; the module that the first part was imported from; the qualified name anywhere; for a plain
-    name any entity of that name, for a dotted one a method that a single class has.  Every rank is an equi join; within a
-    rank the first entity by file and place wins.
+    In ranks: the same file; the module that the first part was imported from, as a name in it or as the module itself; the
+    qualified name anywhere; for a plain name the last function of that name if it is called, else the first entity of
+    that name; for a dotted one a method that a single class has.  Every rank is an equi join, and those that look
+    anywhere join one entity a name, so common names do not multiply; the first entity by file and place wins a rank.
     """
     e = known.select(F.col("file_path").alias("t_file"), F.col("seq").alias("t_seq"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"),
                      F.col("parent_name").alias("t_parent"), F.col("qualified").alias("t_qualified"), F.col("key").alias("t_key"))
+    whole, place = F.struct(*e.columns), F.struct("t_file", "t_seq")
+    one = lambda df, by, pick: df.groupBy(F.col(by).alias("_name")).agg(pick(whole, place).alias("one")).select("_name", "one.*")
     plain = ~F.contains("chain", F.lit("."))
     tail = F.element_at(F.split("chain", r"\."), -1)
     last = F.element_at(F.split("module", "/"), -1)
-    rest = F.regexp_replace("chain", r"^[^.]*\.?", "")
-    by_import = wanted.where("module is not null").withColumn("_q", F.concat_ws(".", last, F.nullif(rest, F.lit(""))))
-    in_module = F.endswith(F.concat(F.lit("/"), F.regexp_replace("t_file", r"\.py$", "")), F.concat(F.lit("/"), F.nullif(F.regexp_replace("module", "/?[^/]*$", ""), F.lit(""))))
-    single = e.where("t_kind = 'Method' and t_parent <> ''").groupBy("t_name").agg(F.countDistinct("t_parent").alias("k"), F.min_by(F.struct(*e.columns), F.struct("t_file", "t_seq")).alias("one")).where("k = 1").select(F.col("t_name").alias("_name"), "one.*")
+    rest = F.nullif(F.regexp_replace("chain", r"^[^.]*\.?", ""), F.lit(""))
+    # a module's path is the end of its file's, with or without __init__; both meet on the last folder or file name
+    path = F.regexp_replace(F.regexp_replace("t_file", r"\.py$", ""), "(^|/)__init__$", "")
+    slash = lambda x: F.concat(F.lit("/"), x)
+    at = e.withColumn("_path", path).withColumn("_end", F.element_at(F.split("_path", "/"), -1))
+    imported = wanted.where("module is not null")
+    holder = F.nullif(F.regexp_replace("module", "/?[^/]*$", ""), F.lit(""))
+    named = imported.withColumns({"_q": F.concat_ws(".", last, rest), "_holder": holder}).where("_holder is not null").withColumn("_last", F.element_at(F.split("_holder", "/"), -1))
+    moduled = imported.withColumns({"_q": rest, "_last": last}).where("_q is not null")
+    by_name = named.join(at, (F.col("_q") == F.col("t_qualified")) & (F.col("_last") == F.col("_end"))).where(F.endswith(slash(F.col("_path")), slash(F.col("_holder"))))
+    by_module = moduled.join(at, (F.col("_q") == F.col("t_qualified")) & (F.col("_last") == F.col("_end"))).where(F.endswith(slash(F.col("_path")), slash(F.col("module"))))
+    single = e.where("t_kind = 'Method' and t_parent <> ''").groupBy(F.col("t_name").alias("_name")).agg(F.countDistinct("t_parent").alias("k"), F.min_by(whole, place).alias("one")).where("k = 1").select("_name", "one.*")
+    functions = one(e.where("t_kind = 'Method' and t_parent = ''"), "t_name", F.max_by)
     ranks = [
-        wanted.join(e, (F.col("chain") == F.col("t_qualified")) & (F.col("file_path") == F.col("t_file"))).withColumn("_rank", F.lit(1)),
-        by_import.join(e, F.col("_q") == F.col("t_qualified")).where(F.coalesce(in_module, F.lit(False))).drop("_q").withColumn("_rank", F.lit(2)),
-        wanted.join(e, F.col("chain") == F.col("t_qualified")).withColumn("_rank", F.lit(3)),
-        wanted.where(plain).join(e, F.col("chain") == F.col("t_name")).withColumn("_rank", F.lit(4)),
-        wanted.where(~plain).withColumn("_tail", tail).join(single, F.col("_tail") == F.col("_name")).drop("_tail", "_name").withColumn("_rank", F.lit(5)),
+        wanted.join(e, (F.col("chain") == F.col("t_qualified")) & (F.col("file_path") == F.col("t_file"))),
+        by_name.drop("_q", "_holder", "_last", "_path", "_end"),
+        by_module.drop("_q", "_last", "_path", "_end"),
+        wanted.join(one(e, "t_qualified", F.min_by), F.col("chain") == F.col("_name")).where(~(plain & (F.col("fact") == "call"))).drop("_name"),
+        wanted.where(plain & (F.col("fact") == "call")).join(functions, F.col("chain") == F.col("_name")).drop("_name"),
+        wanted.where(plain).join(one(e, "t_name", F.min_by), F.col("chain") == F.col("_name")).drop("_name"),
+        wanted.where(~plain).withColumn("_tail", tail).join(single, F.col("_tail") == F.col("_name")).drop("_tail", "_name"),
     ]
-    found = ranks[0]
-    for r in ranks[1:]:
-        found = found.unionByName(r)
+    found = None
+    for number, r in enumerate(ranks, 1):
+        r = r.withColumn("_rank", F.lit(number))
+        found = r if found is None else found.unionByName(r)
     w = W.partitionBy("id").orderBy("_rank", "t_file", "t_seq")
     return found.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "_rank")
 

@@ -36,7 +36,8 @@ def typed_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = [
         edge(of("struct"), "package", package_of, "struct", F.col("id"), "has_struct"),
         edge(of("interface"), "package", package_of, "interface", F.col("id"), "has_interface"),
-        edge(of("import"), "file", _id("file", F.element_at(F.split("file_path", "/"), -1)), "import", F.col("id"), "has_import"),
+        # an import is one node for all files that have it, so its edges come from the facts
+        edge(facts.where("fact = 'import'"), "file", _id("file", F.element_at(F.split("file_path", "/"), -1)), "import", _id("import", F.col("name")), "has_import"),
         edge(of("function").where("owner = ''"), "package", package_of, "function", F.col("id"), "has_function"),
         edge(of("enum"), "package", package_of, "enum", F.col("id"), "has_value"),
     ]

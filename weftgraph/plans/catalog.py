@@ -51,10 +51,13 @@ def _query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import extraction  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -95,17 +98,9 @@ def _document_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", ids.document_key("p_name").alias("doc_key"), ids.content_hash("p_name").alias("content_hash"))
 
 
-@_query("path_keys", """WITH k AS (SELECT page_id, substr(html, 1, 1 + page_id % 400) AS path FROM pages WHERE html IS NOT NULL),
-  s AS (SELECT *, regexp_replace(path, '[^a-zA-Z0-9_-]', '_', 'g') AS plain FROM k)
-  SELECT page_id, CASE WHEN length(plain) > 240 THEN substr(plain, 1, 225) || '_' || substr(md5(path), 1, 8) || '_trunc' ELSE plain END AS path_key FROM s""")
-def _path_keys(spark, d):
-    path = F.substring("html", F.lit(1), (1 + F.col("page_id") % 400).cast("int"))
-    return table(spark, d, "pages").where("html is not null").select("page_id", ids.path_key(path).alias("path_key"))
-
-
-@_query("path_keys_whole", """WITH s AS (SELECT page_id, html, regexp_replace(html, '[^a-zA-Z0-9_-]', '_', 'g') AS plain FROM pages)
+@_query("path_keys", """WITH s AS (SELECT page_id, html, regexp_replace(html, '[^a-zA-Z0-9_-]', '_', 'g') AS plain FROM pages)
   SELECT page_id, CASE WHEN length(plain) > 240 THEN substr(plain, 1, 225) || '_' || substr(md5(html), 1, 8) || '_trunc' ELSE plain END AS path_key FROM s""")
-def _path_keys_whole(spark, d):
+def _path_keys(spark, d):
     return table(spark, d, "pages").select("page_id", ids.path_key("html").alias("path_key"))
 
 
@@ -169,11 +164,11 @@ def _explain_relation(spark, d):
 
 def _hops(k: int, seed: str, relation: str | None = None) -> str:
     of = f"WHERE relation_type = '{relation}'" if relation else ""
-    out = f"{GRAPH}, e AS (SELECT * FROM edges {of}), f0 AS (SELECT id FROM nodes WHERE {seed})"
+    out = f"{GRAPH}, e AS MATERIALIZED (SELECT * FROM edges {of}), f0 AS MATERIALIZED (SELECT id FROM nodes WHERE {seed})"
     for i in range(1, k + 1):
         out += f""",
-e{i} AS (SELECT * FROM e WHERE source_id IN (SELECT id FROM f{i - 1}) OR target_id IN (SELECT id FROM f{i - 1})),
-f{i} AS (SELECT source_id AS id FROM e{i} UNION SELECT target_id FROM e{i})"""
+e{i} AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN f{i - 1} ON source_id = f{i - 1}.id UNION SELECT e.* FROM e SEMI JOIN f{i - 1} ON target_id = f{i - 1}.id),
+f{i} AS MATERIALIZED (SELECT source_id AS id FROM e{i} UNION SELECT target_id FROM e{i})"""
     return out
 
 
@@ -343,39 +338,6 @@ def _important(spark, d):
 
 _CALLS = "calls AS (SELECT DISTINCT source_id AS s, target_id AS t FROM rel WHERE relation_type <> 'CONTAINS')"
 _PATHS = f"""WITH {RELATIONS}, {_CALLS},
-  p3 AS (SELECT a.s AS n1, a.t AS n2, b.t AS n3 FROM calls a JOIN calls b ON b.s = a.t WHERE a.s = '{ID}File|customer/7'),
-  p4 AS (SELECT p3.*, c.t AS n4 FROM p3 JOIN calls c ON c.s = n3),
-  lp AS (SELECT n1 || '>' || n2 || '>' || n3 AS path, 3 AS length, n1, n2, n3, NULL AS n4 FROM p3 UNION ALL SELECT n1 || '>' || n2 || '>' || n3 || '>' || n4, 4, n1, n2, n3, n4 FROM p4)"""
-
-
-def _long_paths_of(spark, d) -> DataFrame:
-    calls = G.relations(spark, d).where("relation_type <> 'CONTAINS'")
-    return paths.long_paths(calls, spark.createDataFrame([(f"{ID}File|customer/7",)], "id string"))
-
-
-@_query("long_paths", f"{_PATHS} SELECT path, length FROM lp")
-def _long_paths(spark, d):
-    return _long_paths_of(spark, d).select(F.array_join("path", ">").alias("path"), "length")
-
-
-@_query("longest_paths", f"""{_PATHS} SELECT path, length FROM lp QUALIFY row_number() OVER (ORDER BY length DESC, path) <=
-  least(10000, CASE WHEN (SELECT count(*) FROM lp) > 25 THEN (SELECT count(*) FROM lp) // 5 ELSE (SELECT count(*) FROM lp) END)""")
-def _longest_paths(spark, d):
-    flat = _long_paths_of(spark, d).select(F.array_join("path", ">").alias("path"), "length")
-    return paths.longest_sample(flat)
-
-
-@_query("common_subpaths", f"""{_PATHS}, o AS (SELECT *, row_number() OVER (ORDER BY path) AS i FROM lp),
-  c AS (SELECT a.n1 || '>' || a.n2 || '>' || a.n3 || CASE WHEN a.n4 = b.n4 THEN '>' || a.n4 ELSE '' END AS common_path FROM o a JOIN o b ON a.i > b.i AND a.n2 = b.n2 AND a.n3 = b.n3
-    UNION ALL SELECT a.n1 || '>' || CASE WHEN a.n2 = b.n2 THEN a.n2 ELSE a.n3 END || '>' || a.n4 FROM o a JOIN o b ON a.i > b.i AND a.n4 = b.n4 AND (a.n2 = b.n2) <> (a.n3 = b.n3))
-  SELECT common_path, count(*) AS n FROM c GROUP BY 1""")
-def _common_subpaths(spark, d):
-    out = paths.common_subpaths(_long_paths_of(spark, d))
-    return out.select(F.array_join("common_path", ">").alias("common_path"), F.col("count").alias("n"))
-
-
-# The three above start from one customer, as their SQL does; those below from every node that calls and that nothing calls.
-_ALL_PATHS = f"""WITH {RELATIONS}, {_CALLS},
   p3 AS (SELECT a.s AS n1, a.t AS n2, b.t AS n3 FROM calls a JOIN calls b ON b.s = a.t WHERE a.s NOT IN (SELECT t FROM calls)),
   p4 AS (SELECT p3.*, c.t AS n4 FROM p3 JOIN calls c ON c.s = n3),
   lp AS (SELECT n1 || '>' || n2 || '>' || n3 AS path, 3 AS length, n1, n2, n3, NULL AS n4 FROM p3 UNION ALL SELECT n1 || '>' || n2 || '>' || n3 || '>' || n4, 4, n1, n2, n3, n4 FROM p4),
@@ -383,29 +345,29 @@ _ALL_PATHS = f"""WITH {RELATIONS}, {_CALLS},
     least(10000, CASE WHEN (SELECT count(*) FROM lp) > 25 THEN (SELECT count(*) FROM lp) // 5 ELSE (SELECT count(*) FROM lp) END))"""
 
 
-def _all_paths_of(spark, d) -> DataFrame:
+def _paths_of(spark, d) -> DataFrame:
     calls = G.relations(spark, d).where("relation_type <> 'CONTAINS'")
     entries = calls.select(F.col("source_id").alias("id")).distinct().join(calls.select(F.col("target_id").alias("id")), "id", "left_anti")
     return paths.long_paths(calls, entries)
 
 
-@_query("long_paths_all", f"{_ALL_PATHS} SELECT path, length FROM lp")
-def _long_paths_all(spark, d):
-    return _all_paths_of(spark, d).select(F.array_join("path", ">").alias("path"), "length")
+@_query("long_paths", f"{_PATHS} SELECT path, length FROM lp")
+def _long_paths(spark, d):
+    return _paths_of(spark, d).select(F.array_join("path", ">").alias("path"), "length")
 
 
-@_query("longest_paths_all", f"{_ALL_PATHS} SELECT path, length FROM top")
-def _longest_paths_all(spark, d):
-    return paths.longest_sample(_all_paths_of(spark, d)).select(F.array_join("path", ">").alias("path"), "length")
+@_query("longest_paths", f"{_PATHS} SELECT path, length FROM top")
+def _longest_paths(spark, d):
+    return paths.longest_sample(_paths_of(spark, d)).select(F.array_join("path", ">").alias("path"), "length")
 
 
-@_query("common_subpaths_all", f"""{_ALL_PATHS},
+@_query("common_subpaths", f"""{_PATHS},
   c AS (SELECT concat_ws('>', CASE WHEN a.n1 = b.n1 THEN a.n1 END, CASE WHEN a.n2 = b.n2 THEN a.n2 END, CASE WHEN a.n3 = b.n3 THEN a.n3 END, CASE WHEN a.n4 = b.n4 THEN a.n4 END) AS common_path
     FROM top a JOIN top b ON a.i > b.i AND a.n3 = b.n3 AND (a.n1 = b.n1)::int + (a.n2 = b.n2)::int + coalesce((a.n4 = b.n4)::int, 0) >= 2
     UNION ALL SELECT concat_ws('>', a.n1, a.n2, a.n4) FROM top a JOIN top b ON a.i > b.i AND a.n4 = b.n4 AND a.n1 = b.n1 AND a.n2 = b.n2 AND a.n3 <> b.n3)
   SELECT common_path, count(*) AS n FROM c GROUP BY 1""")
-def _common_subpaths_all(spark, d):
-    out = paths.common_subpaths(paths.longest_sample(_all_paths_of(spark, d)))
+def _common_subpaths(spark, d):
+    out = paths.common_subpaths(paths.longest_sample(_paths_of(spark, d)))
     return out.select(F.array_join("common_path", ">").alias("common_path"), F.col("count").alias("n"))
 
 
@@ -479,7 +441,7 @@ def _evidence_report(spark, d):
 
 @_query("evidence_p95", "SELECT event_type, list_sort(list(value))[greatest(1, floor(count(*) * 0.95::double))::int] AS p95 FROM events GROUP BY 1")
 def _evidence_p95(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(E.rank_percentile("value").alias("p95"))
+    return E.rank_percentiles(table(spark, d, "events"), ["event_type"], "value").select("event_type", F.col("value").alias("p95"))
 
 
 @_query("failure_taxonomy", "SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'timeout' END AS failure_type, count(*) AS cases FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
@@ -534,20 +496,9 @@ def _rbac(spark, d):
 
 
 @_query("file_entities", """SELECT doc_id, length(text) AS size, len(string_split(text, chr(10))) AS lines, md5(text) AS content_hash,
-  'documents/' || source || '/' || doc_id AS path, CASE WHEN contains(lower(source || text[1:40]), 'test') THEN 'test' WHEN contains(lower(source || text[1:40]), 'doc') THEN 'documentation'
-  WHEN contains(lower(source || text[1:40]), 'config') THEN 'config' ELSE 'source' END AS module_type, (length(text) // 4)::int AS tokens FROM documents""")
-def _file_entities(spark, d):
-    head = F.concat("source", F.substring("text", 1, 40))
-    return table(spark, d, "documents").select(
-        "doc_id", F.length("text").cast("long").alias("size"), text.line_count("text").cast("long").alias("lines"), ids.content_hash("text").alias("content_hash"),
-        F.concat_ws("/", F.lit("documents"), "source", "doc_id").alias("path"), text.module_type(head).alias("module_type"), text.token_estimate("text").alias("tokens"),
-    )
-
-
-@_query("file_entities_whole", """SELECT doc_id, length(text) AS size, len(string_split(text, chr(10))) AS lines, md5(text) AS content_hash,
   'documents/' || source || '/' || doc_id AS path, CASE WHEN contains(lower(source || text), 'test') THEN 'test' WHEN contains(lower(source || text), 'doc') THEN 'documentation'
   WHEN contains(lower(source || text), 'config') THEN 'config' ELSE 'source' END AS module_type, (length(text) // 4)::int AS tokens FROM documents""")
-def _file_entities_whole(spark, d):
+def _file_entities(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", F.length("text").cast("long").alias("size"), text.line_count("text").cast("long").alias("lines"), ids.content_hash("text").alias("content_hash"),
         F.concat_ws("/", F.lit("documents"), "source", "doc_id").alias("path"), text.module_type(F.concat("source", "text")).alias("module_type"), text.token_estimate("text").alias("tokens"),
@@ -591,14 +542,8 @@ def _complexity(spark, d):
     return schema_rules.complexity_flags(part).select("p_partkey", "p_size")
 
 
-@_query("coverage_check", "SELECT p_partkey AS id, count(l_partkey) AS tests, count(l_partkey) > 0 AS covered FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY 1")
+@_query("coverage_check", "SELECT p_partkey AS id, count(l_partkey) AS tests, count(l_partkey) > 0 AS covered FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY 1")
 def _coverage(spark, d):
-    edges = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("target_id"), F.lit("VERIFIES").alias("relation_type"))
-    return schema_rules.coverage(table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("id")), edges)
-
-
-@_query("coverage_check_all", "SELECT p_partkey AS id, count(l_partkey) AS tests, count(l_partkey) > 0 AS covered FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY 1")
-def _coverage_all(spark, d):
     edges = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("target_id"), F.lit("VERIFIES").alias("relation_type"))
     return schema_rules.coverage(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges)
 
@@ -672,15 +617,8 @@ def _call_listing(spark, d):
     return listings.call_listing(_typed_edges(spark, d))
 
 
-@_query("staged_members", """SELECT 'struct:' || s_suppkey AS owner, 'function:' || c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey < 20""")
+@_query("staged_members", "SELECT 'struct:' || s_suppkey AS owner, 'function:' || c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def _staged_members(spark, d):
-    own = table(spark, d, "supplier").where("s_suppkey < 20").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    edges = own.select(F.concat(F.lit("struct:"), "s_suppkey").alias("source_id"), F.concat(F.lit("function:"), "c_custkey").alias("target_id"), F.lit("has_method").alias("relation_type"))
-    return importance.members(_typed_nodes(spark, d).select("id", "type"), edges, ("has_method",), ("function",)).select("owner", "id")
-
-
-@_query("staged_members_all", "SELECT 'struct:' || s_suppkey AS owner, 'function:' || c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
-def _staged_members_all(spark, d):
     own = table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
     edges = own.select(F.concat(F.lit("struct:"), "s_suppkey").alias("source_id"), F.concat(F.lit("function:"), "c_custkey").alias("target_id"), F.lit("has_method").alias("relation_type"))
     return importance.members(_typed_nodes(spark, d).select("id", "type"), edges, ("has_method",), ("function",)).select("owner", "id")
@@ -710,8 +648,8 @@ def _upsert(spark, d):
     return containment.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ["key"])
 
 
-@_query("job_transitions", """SELECT event_id, CASE WHEN event_type <> 'error' THEN 'COMPLETED' WHEN event_id % 5 + 1 <= 3 THEN 'RETRYING' ELSE 'FAILED' END AS status, (event_id % 5 + 1)::bigint AS attempts,
-  CASE WHEN event_type = 'error' AND event_id % 5 + 1 <= 3 THEN least(2 ** (event_id % 5 + 1), 8)::int END AS wait_seconds FROM events""")
+@_query("job_transitions", """SELECT event_id, CASE WHEN event_type <> 'error' THEN 'COMPLETED' WHEN event_id % 5 + 1 < 3 THEN 'RETRYING' ELSE 'FAILED' END AS status, (event_id % 5 + 1)::bigint AS attempts,
+  CASE WHEN event_type = 'error' AND event_id % 5 + 1 < 3 THEN least(2 ** (event_id % 5 + 1), 8)::int END AS wait_seconds FROM events""")
 def _job_transitions(spark, d):
     log = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("attempts"), F.lit(3).alias("max_retries"))
     return ingest.after_attempt(log, F.col("event_type") == "error").select("event_id", "status", "attempts", "wait_seconds")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import time
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Folders that snapshots leave out.
 IGNORED = (".git", ".hg", ".svn", ".venv", "__pycache__", "build", "dist", "env", "node_modules", "venv")
@@ -18,28 +21,41 @@ def is_ignored(relative: Column | str) -> Column:
     return F.exists(folders, lambda p: p.startswith(".") | p.isin(*IGNORED)) | F.element_at(parts, -1).startswith(".")
 
 
-@F.pandas_udf(T.StringType())
-def decoded(content: pd.Series) -> pd.Series:
+def listed(spark: SparkSession, root: str, pattern: str) -> list[tuple[str, str, int]]:
+    """(uri, path relative to root, modified in ms) of every file below root whose name matches.  Spark's own readers
+    hide names that begin with "_", and so every __init__.py; the file system's listing does not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    found, out = fs.listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        uri = status.getPath().toUri()
+        relative = uri.getPath().removeprefix(base)
+        if fnmatch.fnmatchcase(relative.rpartition("/")[2], pattern):
+            out.append((status.getPath().toString(), relative, status.getModificationTime()))
+    return sorted(out, key=lambda x: x[1])
+
+
+def _read(uri: str) -> str:
     """UTF-8 with bad bytes dropped."""
-    return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"))
+    system, path = (pafs.LocalFileSystem(), re.sub("^file:/+", "/", uri)) if uri.startswith(("file:", "/")) else pafs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read().decode("utf-8", errors="ignore")
 
 
 def collect(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """file_path (relative to root), content, modified of every file that matches and is not ignored."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().rstrip("/") + "/"
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(base), "")
-    return (
-        raw.withColumn("file_path", relative).where(~is_ignored("file_path"))
-        .select("file_path", decoded("content").alias("content"), F.col("modificationTime").alias("modified"))
-    )
-
+    """file_path (relative to root), content, modified of every file that matches and is not ignored, in any folder and
+    with any name.  The listing is the driver's; texts are read by executors."""
+    names = spark.createDataFrame(listed(spark, root, pattern), "uri string, file_path string, at long").where(~is_ignored("file_path"))
 
-def _quoted(base: str) -> str:
-    import re
+    def run(batches):
+        for batch in batches:
+            texts = [_read(x) for x in batch.column("uri").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array(texts, pa.string()), batch.column("at")], ["file_path", "content", "at"])
 
-    return re.escape(re.sub("^file:/+", "/", base))
+    read = names.mapInArrow(run, "file_path string, content string, at long")
+    return read.select("file_path", "content", F.timestamp_millis("at").alias("modified"))
 
 
 def python_files(spark: SparkSession, root: str) -> DataFrame:

@@ -90,7 +90,7 @@ def status_log(jobs: DataFrame, seen: DataFrame) -> DataFrame:
 def after_attempt(log: DataFrame, failed) -> DataFrame:
     """Next status and wait of running jobs, by whether the attempt failed."""
     tries = F.col("attempts") + 1
-    status = F.when(~failed, COMPLETED).when(tries <= F.coalesce("max_retries", F.lit(MAX_RETRIES)), RETRYING).otherwise(FAILED)
+    status = F.when(~failed, COMPLETED).when(tries < F.coalesce("max_retries", F.lit(MAX_RETRIES)), RETRYING).otherwise(FAILED)
     wait = F.when(status == RETRYING, F.least(F.pow(F.lit(2), tries), F.lit(LONGEST_WAIT))).cast("int")
     return log.withColumns({"attempts": tries, "status": status, "wait_seconds": wait})
 
@@ -122,6 +122,7 @@ class Engine:
     queue: deque = field(default_factory=deque)
     deliveries: set = field(default_factory=set)
     status: dict = field(default_factory=dict)
+    completed: set = field(default_factory=set)
     sleep: object = time.sleep
     build: object = None
 
@@ -141,11 +142,11 @@ class Engine:
 
     index_commit = index_repository
 
-    def _note(self, job: Job, status: str, error: str = "") -> dict:
+    def _note(self, job: Job, status: str, error: str = "", attempts: int | None = None) -> dict:
         now = datetime.now(timezone.utc).isoformat()
         before = self.status.get((job.tenant_id, job.job_id), {})
         row = {"job_id": job.job_id, "tenant_id": job.tenant_id, "repo_id": job.repo_id, "commit_sha": job.commit_sha, "status": status,
-               "attempts": job.attempts, "error": error, "created_at": before.get("created_at", now), "updated_at": now}
+               "attempts": job.attempts if attempts is None else attempts, "error": error, "created_at": before.get("created_at", now), "updated_at": now}
         self.status[job.tenant_id, job.job_id] = row
         return row
 
@@ -154,8 +155,8 @@ class Engine:
         if not self.queue:
             return None
         job = self.queue.popleft()
-        if self.status.get((job.tenant_id, job.job_id), {}).get("status") == COMPLETED:
-            return {"job_id": job.job_id, "status": SKIPPED}  # its slot stays taken
+        if (job.tenant_id, job.job_id) in self.completed:
+            return self._note(job, SKIPPED)  # its slot stays taken
         self._note(job, RUNNING)
         try:
             files = self.spark.createDataFrame(list(job.files.items()), "file_path string, content string")
@@ -164,15 +165,17 @@ class Engine:
             self.store.save_snapshot(nodes, edges)
         except Exception as e:  # any failure of a job is its result
             job.attempts += 1
-            if job.attempts <= job.max_retries:
+            if job.attempts < job.max_retries:
+                noted = self._note(job, RETRYING, str(e))
                 self.sleep(backoff(job.attempts))
                 self.queue.append(job)
-                return self._note(job, RETRYING, str(e))
+                return noted
             self.quotas.release(job.tenant_id)
             return self._note(job, FAILED, str(e))
-        job.attempts += 1
+        self.completed.add((job.tenant_id, job.job_id))
+        done = self._note(job, COMPLETED, attempts=job.attempts + 1)
         self.quotas.release(job.tenant_id)
-        return self._note(job, COMPLETED)
+        return done
 
     def get_graph(self, key: str, tenant: str, repo: str, commit: str) -> tuple[DataFrame, DataFrame]:
         who = self.authorizer.authorize(key, tenant, "viewer")
