@@ -117,13 +117,94 @@ def test_guess_costs(weak, strong):
     assert secrets.guess_cost(weak)[0] < secrets.guess_cost(strong)[0]
 
 
+def cheapest(v, rank):
+    """Every segmentation of a short value, by recursion over plain definitions of its kinds."""
+    low = v.lower()
+    plain = low.translate(secrets.LEET)
+    size = lambda c: 26 if c.isalpha() else 10 if c.isdigit() else 33
+
+    def spans(i, j):
+        s = v[i:j]
+        if j - i == 1:
+            yield np.log10(size(s))
+        if j - i >= 3:
+            for form, extra in ((low, 0.0), (plain, 0.3)):
+                if form[i:j] in rank:
+                    yield np.log10(rank[form[i:j]] + 1) + extra + 0.3 * (s != low[i:j]) + 0.3
+                    break
+            if any(low[i:j] in keys or low[i:j] in keys[::-1] for keys in secrets.WALKS):
+                yield np.log10(94 * (j - i))
+        if (m := secrets.DATE.match(v, i)) and m.end() == j:
+            yield 2.1 if j - i == 4 else 4.6
+        for unit in range(1, (j - i) // 2 + 1):
+            if (j - i) % unit == 0 and s == s[:unit] * ((j - i) // unit) and v[j : j + unit] != s[:unit]:
+                yield sum(np.log10(size(c)) for c in s[:unit]) + np.log10((j - i) // unit)
+
+    best = [0.0] + [np.inf] * len(v)
+    for j in range(1, len(v) + 1):
+        best[j] = min((best[i] + c for i in range(j) for c in spans(i, j)), default=np.inf)
+    return best[-1]
+
+
 def test_guess_cost_is_the_cheapest_cut():
-    rank, r = {"abc": 1, "bcd": 2, "cab": 5}, random.Random(1)
-    for _ in range(60):
-        v = "".join(r.choice("abcd1") for _ in range(r.randrange(1, 9)))
-        cost, cuts = secrets.guess_cost(v, rank, 3)
+    rank, r = {"abc": 1, "bcd": 2, "cab": 5, "dab": 40}, random.Random(1)
+    for k in range(400):
+        v = "".join(r.choice(("abcd1", "aab", "qwe12", "2019-7", "Ab@4c")[k % 5]) for _ in range(r.randrange(1, 12)))
+        cost, cuts = secrets.guess_cost(v, rank)
         assert [a for a, _, _ in cuts] == [0, *(b for _, b, _ in cuts[:-1])] and cuts[-1][1] == len(v)
-        assert cost <= sum(np.log10(26 if c.isalpha() else 10) for c in v) + 1e-9
+        assert abs(cost - cheapest(v, rank)) < 1e-9, v
+
+
+def test_long_values_cost_time_in_proportion():
+    import time
+
+    for v in ("a" * 100_000, "ab1" * 30_000, "".join(random.Random(1).choices("abcdefgh0123", k=100_000))):
+        began = time.perf_counter()
+        secrets.guess_cost(v)
+        assert time.perf_counter() - began < 60
+
+
+def test_dictionary_of_the_texts(spark, none):
+    rows = [(i, "the access pass phrase plover stands here") for i in range(30)] + [(99, "password: plovers1 and the passphrase is xkqjvhzpwmtr"), (100, None), (101, "auth: plover")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = secrets.corpus_rank(docs)
+    assert "plover" in rank and "xkqjvhzpwmtr" not in rank and rank["password"] == 1 and secrets.corpus_rank(none) == secrets.RANK
+    got = {r.doc_id: r for r in secrets.op2_secret_scan(docs).collect()}
+    assert got[99].n_guess == 1 and got[101].n_guess == 0 and got[0].n_guess == 0
+
+
+def test_rewritten_shards(spark, tmp_path):
+    rows = [(None if i % 2 else 7, f"text {i // 3}", i, "old") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    plan = reshard.plan_reshard(docs.select("doc_id", "text"), reshard.Layout(5, 4, 64))
+    want = plan.select("shard", "old_shard", "slot").collect()
+    for s in (*range(5), 99):
+        (tmp_path / "out" / f"{reshard.SHARD}={s}").mkdir(parents=True)
+        docs.limit(1).withColumn(reshard.SLOT, F.lit(0).cast("long")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "out" / f"{reshard.SHARD}={s}"))
+    numbers = reshard.rewrite_affected(plan, docs, str(tmp_path / "out"))
+    touched = {x for r in want if r["shard"] != r.old_shard for x in (r["shard"], r.old_shard)}
+    assert set(numbers) == touched & {r["shard"] for r in want}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sum(r[reshard.SHARD] == 99 for r in got) == 1 and not any(r[reshard.SHARD] == 4 for r in got)
+    new = [r for r in got if r[reshard.SHARD] in numbers]
+    assert Counter((r[reshard.SHARD], r[reshard.SLOT]) for r in new) == Counter((r["shard"], r.slot) for r in want if r["shard"] in numbers)
+    assert len({r["shard"] for r in new}) == len(new) and all(rows[r["shard"]] == (r.doc_id, r.text, r["shard"], r.slot) for r in new)
+
+
+def test_moved_bytes_are_the_flows(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text")).withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    layout = reshard.Layout()
+    plan = reshard.plan_reshard(docs, layout).collect()
+    supply = [0] * layout.old_shards
+    for r in plan:
+        supply[r.old_shard] += r["size"]
+    total = sum(supply)
+    capacity = [total * (j + 1) // 16 - total * j // 16 for j in range(16)]
+    flow = reshard.min_cost_flow(supply, capacity)
+    least = sum(x for i, row in enumerate(flow) for j, x in enumerate(row) if i != j)
+    moved = sum(r["size"] for r in plan if r["shard"] != r.old_shard)
+    assert abs(moved - least) <= 0.02 * total
 
 
 def test_op3(docs, none):
@@ -254,6 +335,30 @@ def test_sainte_lague_deals_by_highest_quotient():
         assert mixing.sainte_lague(w, seats, limits) == out
 
 
+def test_caps_find_near_vectors_at_every_size():
+    for dim in (16, 64, 256):
+        for count in (128, 512):
+            r = np.random.default_rng(dim)
+            x = r.standard_normal((400, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            g = r.standard_normal((400, dim))
+            g -= (g * x).sum(1, keepdims=True) * x
+            y = 0.93 * x + np.sqrt(1 - 0.93**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+            a, b = (set(zip(*map(np.ndarray.tolist, embeddings.decode(v, count)))) for v in (x, y))
+            assert len({i for i, _ in a & b}) / 400 >= 0.97
+            sizes = Counter(i for i, _ in a)
+            assert len(set(sizes.values())) > 5 and min(sizes.values()) == embeddings.caps_for(count)
+            # the caps themselves: every filter that reaches alpha, by scoring all of them
+            rotation, words, alpha = embeddings._code(dim, count)
+            parts = (x[:5] @ rotation).reshape(5, 2, -1)
+            for i in range(5):
+                every = (parts[i, 0] @ words[0].T)[:, None] + (parts[i, 1] @ words[1].T)[None, :]
+                caps = set(np.flatnonzero(every.ravel() >= alpha).tolist())
+                own = {f for k, f in a if k == i}
+                nearest = set(np.argsort(-every.ravel())[: embeddings.caps_for(count)].tolist())
+                assert own == (caps if len(caps) >= embeddings.caps_for(count) else nearest)
+
+
 def test_op8(spark):
     r = np.random.default_rng(0)
     base = r.standard_normal((60, 24))

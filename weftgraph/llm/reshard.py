@@ -23,6 +23,8 @@ from .common import materialize
 #: Equal texts share a block and so a shard for as long as sizes stay within EVEN of each other.  Where they don't, blocks
 #: above 1/SPLIT of a shard are dealt out by row in parts of that size: no group of copies decides a shard's size.
 EVEN, SPLIT = 0.01, 64
+#: Columns that a rewrite adds or uses.
+RID, SHARD, SLOT = "__weft_rid", "weft_shard", "weft_slot"
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ def place_blocks(blocks: list[tuple[tuple, int]], supply: list[int], capacity: l
 
 
 def plan_reshard(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot."""
+    """One row per document: rid (its place in the scan), doc_id, size, text_crc32, old_shard, shard, slot."""
     spark = docs.sparkSession
     text = F.col("text")
     rows = materialize(
@@ -155,22 +157,28 @@ def plan_reshard(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
     plan = spark.createDataFrame(table, "old_shard int, block int, part int, shard int, first long")
     at = F.row_number().over(W.partitionBy(*keys).orderBy("doc_id", "rid")) - 1
     return rows.join(F.broadcast(plan), keys).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + at).alias("slot")
+        "rid", "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + at).alias("slot")
     )
 
 
-def rewrite_affected(plan: DataFrame, docs: DataFrame, path: str) -> None:
-    """Write the shards that lose or gain a block, one folder each; other shards keep their files."""
-    changed = (
-        plan.groupBy("shard").agg(F.max((F.col("shard") != F.col("old_shard")).cast("int")).alias("gained"))
-        .where("gained = 1").select("shard")
-        .unionByName(plan.where("shard <> old_shard").select(F.col("old_shard").alias("shard")).distinct())
-        .distinct()
-    )
-    (
-        plan.join(F.broadcast(changed), "shard").select("doc_id", "shard", "slot").join(docs, "doc_id")
-        .write.mode("overwrite").partitionBy("shard").parquet(path)
-    )
+def rewrite_affected(plan: DataFrame, docs: DataFrame, path: str) -> list[int]:
+    """Write the shards that lose or gain a row into path, one folder SHARD=number each, with each row's SLOT; their
+    numbers.  Other shards keep their files, and old shards that the plan leaves empty lose theirs.
+
+    docs: the scan that was planned; rows meet the plan by their place in it, so null and repeated ids are safe.
+    """
+    spark = docs.sparkSession
+    moved = plan.where("shard <> old_shard")
+    changed = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
+    kept = plan.select("shard").distinct()
+    numbers = sorted(r.shard for r in changed.join(kept, "shard", "left_semi").collect())  # shards of the layout, not rows
+    place = plan.join(F.broadcast(changed), "shard", "left_semi").select(F.col("rid").alias(RID), F.col("shard").alias(SHARD), F.col("slot").alias(SLOT))
+    rows = docs.withColumn(RID, F.monotonically_increasing_id()).join(place, RID).drop(RID)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(path)
+    for r in changed.join(kept, "shard", "left_anti").collect():
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SHARD}={r.shard}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return numbers
 
 
 def op5_reshard(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 Values that follow a credential word are cut, at minimum cost, into dictionary words, dates, repeats, keyboard walks and
 brute-force spans; the cost is log10 of the guesses.  A value whose cheapest cut costs at least `threshold` is a secret,
-so that "password = changeme2024" is none and a random string is one.
+so that "password = changeme2024" is none and a random string is one.  The dictionary is the list below and, behind it,
+the DICTIONARY words that most texts of the table hold, in that order: an ordinary word costs its rank.
+
+The cost takes time in proportion to a value's length.  Units of repeats have UNIT characters at most: a longer one costs
+more than 10 ** UNIT guesses by itself, which is above the threshold.
 
 Cases: null text is empty and has no spans; spans are in code points, end exclusive; a value that a base `assign` span
 already holds adds no span of its own; rows are independent, so repeated rows repeat; an empty table gives no rows.
@@ -16,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import rows_per_batch
 
@@ -30,6 +34,8 @@ CONTEXT = re.compile(
 )
 CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 THRESHOLD = 9.0
+#: Words that the table adds to the dictionary, at most; texts that must hold them; characters of a repeat's unit.
+DICTIONARY, TEXTS, UNIT = 20_000, 20, 16
 #: Common passwords and placeholder words, commonest first; the rank is the guess count.  A parameter of guess_cost.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login secret token key user root test guest "
@@ -44,7 +50,7 @@ RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LEET = str.maketrans("@4301!$57+", "aaeoiissTt".lower())
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)\d{1,2}\1\d{1,2})?|\d{1,2}([-/._])\d{1,2}\2(?:\d\d){1,2}")
-LONGEST = max(map(len, WORDS))
+LONGEST = 24
 
 
 def _classes(c: str) -> int:
@@ -68,10 +74,35 @@ def _walks(low: str) -> list[int]:
     return out
 
 
-def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int = LONGEST) -> tuple[float, list[tuple[int, int, str]]]:
+def corpus_rank(docs: DataFrame, size: int = DICTIONARY, texts: int = TEXTS) -> dict[str, int]:
+    """Guesses of the list's words and, behind them, of the `size` words of 3 to 24 letters that most texts hold.  The
+    bound is a parameter; ties go by the word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,24}(?![a-z])"), F.lit(0)))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= texts)
+    rank = dict(RANK)
+    for r in counted.orderBy(F.desc("n"), "word").limit(size).collect():
+        rank.setdefault(r.word, len(rank) + 1)
+    return rank
+
+
+def _matches(value: str, unit: int) -> list[int]:
+    """For each start, how many characters agree with those `unit` places on."""
+    out = [0] * (len(value) + 1)
+    for i in range(len(value) - unit - 1, -1, -1):
+        if value[i] == value[i + unit]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses of the cheapest segmentation, and its segments (start, end, kind)."""
     n, low = len(value), value.lower()
+    longest = longest or max(map(len, rank), default=0)
     plain, walks = low.translate(LEET), _walks(low)
+    repeats = [(unit, _matches(value, unit)) for unit in range(1, min(UNIT, n // 2) + 1)]
+    brute = [0.0]
+    for c in value:
+        brute.append(brute[-1] + math.log10(_classes(c)))
     best, came = [0.0] + [math.inf] * n, [None] * (n + 1)
 
     def offer(i: int, j: int, cost: float, kind: str) -> None:
@@ -79,7 +110,7 @@ def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int = LONGEST)
             best[j], came[j] = best[i] + cost, (i, kind)
 
     for i in range(n):
-        offer(i, i + 1, math.log10(_classes(value[i])), "brute")
+        offer(i, i + 1, brute[i + 1] - brute[i], "brute")
         for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
                 if r := rank.get(form[i:j]):
@@ -89,13 +120,10 @@ def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int = LONGEST)
             offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6, "date")
         for j in range(i + 3, i + walks[i] + 1):
             offer(i, j, math.log10(47 * 2 * (j - i)), "walk")
-        for unit in range(1, min(16, (n - i) // 2) + 1):
-            if value[i + unit : i + 2 * unit] != value[i : i + unit]:
-                continue
-            j = i + 2 * unit
-            while value[j : j + unit] == value[i : i + unit]:
-                j += unit
-            offer(i, j, sum(math.log10(_classes(c)) for c in value[i : i + unit]) + math.log10((j - i) // unit), "repeat")
+        for unit, same in repeats:
+            if same[i] >= unit:
+                times = 1 + same[i] // unit
+                offer(i, i + times * unit, brute[i + unit] - brute[i] + math.log10(times), "repeat")
     segments, j = [], n
     while j:
         i, kind = came[j]
@@ -107,7 +135,7 @@ def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int = LONGEST)
 _IS_HEX = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 
 
-def find_secrets(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
+def find_secrets(text: str, threshold: float = THRESHOLD, rank: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
     """Base spans (start, kind, end), all spans, and the highest log10 of guesses among credential-context values."""
     low, found, most = text.lower(), [], 0.0
     cued = any(c in low for c in CUES)
@@ -124,9 +152,9 @@ def find_secrets(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[in
         for m in CONTEXT.finditer(text):
             value, (a, b) = m[2].rstrip("\"',.;)]}>"), (m.start(2), m.end(2))
             b = a + len(value)
-            if len(value) < 6 or m[1].lower() == "is" and not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
+            if len(value) < 6:
                 continue
-            cost, _ = guess_cost(value)
+            cost, _ = guess_cost(value, rank, LONGEST)
             most = max(most, cost)
             if cost >= threshold and not any(s <= a and b <= e for s, e in assigned):
                 more.append((a, 3, b))
@@ -140,6 +168,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def op2_secret_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows_per_batch(docs.sparkSession, 2000)
+    rank = docs.sparkSession.sparkContext.broadcast(corpus_rank(docs))
     schema = (
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, "
         "max_log10_guesses double"
@@ -150,7 +179,7 @@ def op2_secret_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                base, every, most = find_secrets(text or "", threshold)
+                base, every, most = find_secrets(text or "", threshold, rank.value)
                 n = [sum(k == x for _, k, _ in every) for x in range(4)]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest() if base else none
                 rows.append((doc_id, n[0], n[1], n[2], digest, _joined(every), n[3], most))
@@ -177,11 +206,12 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def redact_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same rows and columns; secrets in text are replaced by a mark."""
     rows_per_batch(docs.sparkSession, 2000)
+    rank = docs.sparkSession.sparkContext.broadcast(corpus_rank(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            texts = [t and redact(t, find_secrets(t, threshold)[1]) for t in batch.column(i).to_pylist()]
+            texts = [t and redact(t, find_secrets(t, threshold, rank.value)[1]) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
     return docs.mapInArrow(run, docs.schema)
