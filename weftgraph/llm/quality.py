@@ -123,7 +123,11 @@ class Distinct:
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.seen[codes] = True
-        kinds = np.flatnonzero(self.seen)
+        touched = np.zeros(1 << 12, bool)
+        touched[codes >> 12] = True
+        blocks = np.flatnonzero(touched)  # most of the table is never touched
+        at = np.flatnonzero(self.seen.reshape(1 << 12, 1 << 12)[blocks])
+        kinds = blocks[at >> 12] << 12 | at & 0xFFF
         self.seen[kinds] = False
         self.number[kinds] = np.arange(len(kinds), dtype=np.int32)
         return kinds.astype(np.uint32), self.number[codes]
