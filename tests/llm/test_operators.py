@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, components, embeddings, jaccard, mixing, quality, reshard, secrets, substring, suffix, toxicity
+from weftgraph.llm import bpe, components, embeddings, jaccard, mixing, quality, reshard, secrets, sketch, substring, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, `group` string, size long, h long, n long, key string"
 VOCABULARY = bpe.default_vocabulary()
@@ -78,9 +78,9 @@ def test_suffix_arrays_of_random_strings():
         assert set(zip(own.tolist(), at.tolist())) == {(k, i) for k, s in enumerate(ss) for i in range(len(s) - 8) if count[s[i : i + 9]] > 1}
 
 
-def test_op1(stored, none):
+def removed_by_hand(docs):
     seen, want = set(), []
-    for r in sorted(stored.withColumn("at", F.monotonically_increasing_id()).collect(), key=lambda r: (r.doc_id, r["at"])):
+    for r in sorted(docs.withColumn("at", F.monotonically_increasing_id()).collect(), key=lambda r: (r.doc_id, r["at"])):
         x = (r.text or "").encode()
         cover = bytearray(len(x))
         for i in range(len(x) - 99):
@@ -89,10 +89,47 @@ def test_op1(stored, none):
             seen.add(x[i : i + 100])
         runs = len(re.findall(b"\1+", bytes(cover)))
         want.append((r.doc_id, len(x), sum(cover), runs, sha(bytes(c for c, v in zip(x, cover) if not v))))
-    assert table(suffix.op1_suffix_array(stored), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
+    return sorted(want)
+
+
+def test_op1(stored, none):
+    assert table(suffix.op1_suffix_array(stored), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(stored)
     assert suffix.op1_suffix_array(none).count() == 0
 
 
+def test_op1_with_every_anchor_heavy(stored, monkeypatch):
+    monkeypatch.setattr(suffix, "HEAVY", 1)
+    assert table(suffix.op1_suffix_array(stored), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(stored)
+
+
+def test_equal_windows_of_heavy_anchors_meet():
+    r = random.Random(8)
+    alphabet = b"ab"  # few letters: anchors come again
+    texts = [bytes(r.choice(alphabet) for _ in range(r.randrange(100, 400))) for _ in range(20)] + [b"a" * 900, b"abc" * 300, bytes(range(65, 85)) * 30] * 2
+    texts += [t[k : k + 150] for t in texts for k in (0, 7, 40)]
+    raw, doc, at, size, anchor, _ = suffix.stretches(texts)
+    pieces = [raw[a : a + n] for a, n in zip(at.tolist(), size.tolist())]
+    own, offset, n, key = suffix.cut_heavy(pieces, anchor, 100)
+    keys, covered = {}, Counter()
+    for i, a, m, k in zip(own.tolist(), offset.tolist(), n.tolist(), key.tolist()):
+        for w in range(a, a + m - 99):
+            keys.setdefault(pieces[i][w : w + 100], set()).add(k)
+            covered[i, w] += 1
+    assert all(len(k) == 1 for k in keys.values())
+    assert covered == Counter({(i, w): 1 for i, p in enumerate(pieces) for w in range(len(p) - 99)})
+
+
+def test_a_common_line_fills_no_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix, "HEAVY", 512)  # as small against these buckets as HEAVY is against whole ones
+    line = "-- this line of sixty-two bytes stands in each of the documents"[:62]
+    noise = F.concat(*[F.sha2(F.concat_ws("/", "id", F.lit(k)), 256) for k in range(4)])
+    made = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(noise, F.lit(line), F.sha2(F.concat_ws("/", "id", F.lit(9)), 256)).alias("text"))
+    made.write.parquet(str(tmp_path / "line"))
+    docs, _ = sketch.numbered(spark.read.parquet(str(tmp_path / "line")))
+    loads = [r.n for r in suffix.dealt(docs, sketch.grouped_texts(docs), 100).groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).collect()]
+    assert len(loads) >= 16 and max(loads) <= 2 * sorted(loads)[len(loads) // 2], sorted(loads)
+
+
 def test_op2(docs, none):
     def base(t):
         t, out = t or "", []

@@ -1,8 +1,8 @@
 """A count-min sketch in slices, of which no task ever holds more than one.
 
-Chunks of documents send the hashes that they count to slices, each hash once with whether it comes again there.  A slice
-merges these partial sketches into DEPTH rows of 2 ** CELL_BITS cells and sends back to each chunk those of its hashes
-whose cells all count two or more.  Cells only ever overestimate, so a hash that does not come back is unique in the
+Chunks of documents send the hashes that they count to slices, each hash once with its count there.  A slice merges these
+partial sketches into DEPTH rows of 2 ** CELL_BITS cells and sends back to each chunk those of its hashes whose cells all
+count two or more, and apart from them those that count `heavy` or more: every chunk gets one answer for one hash.  Cells only ever overestimate, so a hash that does not come back is unique in the
 corpus.  The number of slices follows the number of hashes, so that a row has about eight cells a hash at every size, and
 nothing is broadcast or gathered.
 """
@@ -21,7 +21,7 @@ from .common import U64
 CELL_BITS, DEPTH, SLICE = 22, 2, 1 << 19
 #: Bytes of text that one group of neighbouring rows may hold if all were as long as the longest; rows in a group.
 GROUP_BYTES, GROUP_ROWS = 256 << 20, 1 << 10
-SENT = "slice long, group long, hashes binary, again binary"
+SENT = "slice long, group long, hashes binary, times binary"
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -84,8 +84,9 @@ def _keys(h: np.ndarray, slices: int) -> np.ndarray:
     return h % U64(slices) << U64(DEPTH * CELL_BITS) | h >> U64(64 - DEPTH * CELL_BITS)
 
 
-def repeated(docs: DataFrame, hashed, slices: int) -> DataFrame:
-    """group, slice, hashes: which of the hashes that hashed(batch) counts in a group of numbered() may be repeated."""
+def repeated(docs: DataFrame, hashed, slices: int, heavy: int = 1 << 62) -> DataFrame:
+    """group, hashes, heavy: which of the hashes that hashed(batch) counts in a group of numbered() may be repeated, and
+    which of them may count `heavy` or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,32 +100,33 @@ def repeated(docs: DataFrame, hashed, slices: int) -> DataFrame:
                 at = np.flatnonzero(np.diff(which, prepend=-1))
                 rows = []
                 for x, y in zip(at.tolist(), [*at[1:].tolist(), len(keys)]):
-                    rows.append((int(which[x]), int(group[a]), packed(np.diff(keys[x:y], prepend=U64(0))), packed((n[x:y] > 1).astype(np.uint8))))
+                    rows.append((int(which[x]), int(group[a]), packed(np.diff(keys[x:y], prepend=U64(0))), packed(np.minimum(n[x:y], 65_535).astype(np.uint16))))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["slice", "group", "hashes", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["slice", "group", "hashes", "times"])
 
     def merge(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(x, U64)[0]) for x in table.column("hashes").to_pylist()]
-        times = np.concatenate([unpacked(x, np.uint8)[0] for x in table.column("again").to_pylist()]) + 1
-        every, may = np.concatenate(keys), True
+        times = np.concatenate([unpacked(x, np.uint16)[0] for x in table.column("times").to_pylist()])
+        every, least = np.concatenate(keys), np.inf
         for row in range(DEPTH):
             cell = (every >> U64(row * CELL_BITS) & U64((1 << CELL_BITS) - 1)).astype(np.int64)
-            may = may & (np.bincount(cell, times, 1 << CELL_BITS)[cell] >= 2)
+            least = np.minimum(least, np.bincount(cell, times, 1 << CELL_BITS)[cell])
         out, at = [], 0
         for group, k in zip(table.column("group").to_pylist(), keys):
-            kept = k[may[at : at + len(k)]]
+            n = least[at : at + len(k)]
             at += len(k)
-            if len(kept):
-                out.append((group, packed(np.diff(kept, prepend=U64(0)))))
-        return pa.table({"group": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
+            if (n >= 2).any():
+                out.append((group, *(packed(np.diff(k[n >= x], prepend=U64(0))) for x in (2, heavy))))
+        columns = list(zip(*out)) or [()] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("group", "hashes", "heavy"), columns, (pa.int64(), pa.binary(), pa.binary()))})
 
     columns = docs.select("doc_id", "rid", "group", "text")
-    return columns.mapInArrow(send, SENT).groupBy("slice").applyInArrow(merge, "group long, hashes binary")
+    return columns.mapInArrow(send, SENT).groupBy("slice").applyInArrow(merge, "group long, hashes binary, heavy binary")
 
 
-def may_repeat(h: np.ndarray, slices: int, found: pa.Table) -> np.ndarray:
-    """Which hashes of a group came back from repeated()."""
-    keys = np.sort(np.concatenate([*(np.cumsum(unpacked(x, U64)[0]) for x in found.column("hashes").to_pylist()), np.empty(0, U64)]))
+def may_repeat(h: np.ndarray, slices: int, found: pa.Table, column: str = "hashes") -> np.ndarray:
+    """Which hashes of a group came back from repeated(), in one of its columns."""
+    keys = np.sort(np.concatenate([*(np.cumsum(unpacked(x, U64)[0]) for x in found.column(column).to_pylist()), np.empty(0, U64)]))
     if not len(keys):
         return np.zeros(len(h), bool)
     own = _keys(h, slices)

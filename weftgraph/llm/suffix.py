@@ -6,7 +6,9 @@ Which texts share a 100-byte string is found in two steps.
    anchors.  Neighbouring windows with one anchor form a stretch, of about 140 bytes.  A count-min sketch of anchors, in
    slices (sketch.py), drops stretches whose anchor occurs once in the corpus; none that could hold a repeated window is
    lost.  The others are dealt out by anchor, so equal windows meet in one bucket; equal stretches of a group of
-   neighbouring documents are sent once.
+   neighbouring documents are sent once.  Stretches of an anchor that HEAVY or more have, such as a common line's, are
+   cut into CUTS pieces by how far the anchor lies behind a window's start, and dealt out by what all windows of a piece
+   share (91 bytes of 100): equal windows still meet, and only strings as long as that can fill a bucket.
 2. Suffix array.  A bucket's distinct stretches form one text.  Its suffixes are grouped by their Lyndon prefixes,
    using next-smaller pointers (the mirror image of previous-smaller ones); the groups' order is the order of the
    prefixes.  Then one scan from the smallest suffix on emits each group in order: a suffix follows its group's
@@ -31,6 +33,8 @@ from .substring import FACTORS
 LENGTH, ANCHOR = 100, 24
 #: Windows of one stretch at most; bytes of input for each bucket; bytes that are hashed together.
 STRETCH, BUCKET, TOGETHER = 512, 2_000_000, 1 << 20
+#: Stretches that make an anchor heavy (about a quarter of a bucket); pieces that its stretches are cut into.
+HEAVY, CUTS = 4_096, 8
 
 
 def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +88,43 @@ def _anchors(texts: list[bytes], length: int) -> np.ndarray:
     return np.concatenate((anchor, anchor[again]))
 
 
+def cut_heavy(pieces: list[bytes], anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of stretches with heavy anchors: the stretch's number, offset in it, bytes, and key to deal by.
+
+    A window's reach, from its start to its leftmost anchor, falls into one of CUTS ranges; neighbouring windows with one
+    range and anchor are a piece, or more of them with one key.  The key covers the bytes that all windows of such a range
+    hold, so it depends on nothing but a window's bytes.
+    """
+    parts, begin, held = [], 0, 0
+    for i, piece in enumerate(pieces):
+        held += len(piece)
+        if held >= TOGETHER or i + 1 == len(pieces):
+            own, *rest = _cut_heavy(pieces[begin : i + 1], anchor[begin : i + 1], length)
+            parts.append((own + begin, *rest))
+            begin, held = i + 1, 0
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _cut_heavy(pieces: list[bytes], anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw, cuts = b"".join(pieces), sequence_starts(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    sizes = np.diff(cuts)
+    hashes = windows_hash(np.frombuffer(raw, np.uint8).astype(U64) + U64(1), ANCHOR, FACTORS[0])
+    places = np.flatnonzero(hashes == np.repeat(anchor, sizes)[: len(hashes)])
+    own, at = np.repeat(np.arange(len(pieces)), sizes - length + 1), expand(cuts[:-1], sizes - length + 1)
+    place = places[np.searchsorted(places, at)]
+    wide = length - ANCHOR + 1
+    part = (place - at) * CUTS // wide
+    first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    place, part = place[first], part[first]
+    low, high = -(-part * wide // CUTS), -(-(part + 1) * wide // CUTS) - 1  # the range's least and greatest reach
+    key = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((place - low).tolist(), (place - high + length).tolist())], U64)
+    new = np.ones(len(first), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[first[1:]] != own[first[:-1]])
+    first, key = first[new], key[new]
+    size = np.diff(np.append(first, len(at))) + length - 1
+    return own[first], at[first] - cuts[own[first]], size, key
+
+
 def lyndon_groups(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text: bytes above 0, with a 0 behind each string.  The positions that hold no 0; each one's next smaller suffix;
     each one's group, as the number of positions in smaller groups.
@@ -222,14 +263,14 @@ def repeated_in(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return own[some], order[some] - starts[own[some]], np.cumsum(~link[:-1])[some]
 
 
-def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -> DataFrame:
-    """group, rids, starts, sizes: byte ranges of documents (by rid) that strings starting earlier cover; packed.
+def dealt(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """bucket and packed columns: the distinct stretches of each group whose windows may repeat, dealt out to buckets.
 
     docs: numbered(); texts: grouped_texts(docs).
     """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, buckets = slices_for(total // 40), max(16, total // BUCKET)
-    found = repeated(docs, lambda batch: _anchors(text_bytes(batch.column("text")), length), slices)
+    found = repeated(docs, lambda batch: _anchors(text_bytes(batch.column("text")), length), slices, HEAVY)
     kinds = {"bucket": "long", **dict.fromkeys(("digest", "size", "bytes", "id", "rid", "start", "sure_rid", "sure_start", "sure_size"), "binary")}
 
     def candidates(joined: pa.Table, found: pa.Table) -> pa.Table:
@@ -239,6 +280,12 @@ def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -
         keep = np.flatnonzero(may_repeat(anchor, slices, found))
         if len(keep):
             doc, at, size, anchor = doc[keep], at[keep], size[keep], anchor[keep]
+            heavy = may_repeat(anchor, slices, found, "heavy")
+            if heavy.any():
+                h, light = np.flatnonzero(heavy), ~heavy
+                own, offset, n, key = cut_heavy([raw[a : a + s] for a, s in zip(at[h].tolist(), size[h].tolist())], anchor[h], length)
+                doc, at = np.append(doc[light], doc[h][own]), np.append(at[light], at[h][own] + offset)
+                size, anchor = np.append(size[light], n), np.append(anchor[light], key)
             ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()[doc]
             rid = batch.column("rid").to_numpy()[doc]
             start = at - sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)))[doc]
@@ -260,6 +307,15 @@ def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -
         columns = list(zip(*rows)) or [()] * len(kinds)
         return pa.table([pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(columns, kinds.values())], list(kinds))
 
+    return texts.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(candidates, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -> DataFrame:
+    """group, rids, starts, sizes: byte ranges of documents (by rid) that strings starting earlier cover; packed.
+
+    docs: numbered(); texts: grouped_texts(docs).
+    """
+
     def decide(table: pa.Table) -> pa.Table:
         def column(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -297,8 +353,7 @@ def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -
         columns = list(zip(*rows)) or [()] * 4
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("group", "rids", "starts", "sizes"), columns, (pa.int64(),) + (pa.binary(),) * 3)})
 
-    sent = texts.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(candidates, ", ".join(f"{n} {k}" for n, k in kinds.items()))
-    return sent.groupBy("bucket").applyInArrow(decide, "group long, rids binary, starts binary, sizes binary")
+    return dealt(docs, texts, length).groupBy("bucket").applyInArrow(decide, "group long, rids binary, starts binary, sizes binary")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
