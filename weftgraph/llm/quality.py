@@ -392,6 +392,9 @@ def measured(docs: DataFrame) -> DataFrame:
                 if len(word):
                     p = Pairs(history, word, heavy.value, buckets)
                     yield table([(chunk | half, b, packed(np.diff(p.key[s], prepend=U64(0)), p.times[s].astype(np.uint32)), None, None, None) for b, s in p.by_bucket()])
+                    del p
+                del history, word
+            held.clear()  # before the next chunk is read
 
     def answer(group: pa.Table) -> pa.Table:
         chunks, bucket = group.column("chunk").to_pylist(), group.column("bucket")[0].as_py()
@@ -462,6 +465,9 @@ def measured(docs: DataFrame) -> DataFrame:
                 several = np.flatnonzero(n[which] > 1) if len(heavy.value[0]) else np.empty(0, np.int64)
                 yield table([(chunk | half, -1, packed(p.times.astype(np.uint32), p.new.astype(np.uint8), spelled), packed(place), sink.getvalue().to_pybytes(),
                               packed(several.astype(np.uint32), which[several].astype(np.uint32)))])
+                del p, history, word, row, place, names, kinds, which, spelled
+            held.clear()  # before the next chunk is read
+            del parts, docs, steps, side
 
     def gather(group: pa.Table) -> pa.Table:
         rows = sorted(group.select(["bucket", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["bucket"])
