@@ -8,11 +8,13 @@ import json
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import ids, rules
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..sources.python_facts import facts as read_facts
 
 # Phases in the order in which a pair's first relation stays.
 PHASES = {"INHERITS": 1, "INSTANTIATES": 2, "CALLS": 3, "GLOBAL": 4, "USES": 6}
+#: So many names at most are broadcast.
+FEW = 100_000
 
 
 def entities(facts: DataFrame) -> DataFrame:
@@ -43,8 +45,9 @@ def nodes(facts: DataFrame, tenant: str, repo: str, commit: str) -> DataFrame:
     return own.unionByName(more)
 
 
-def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """wanted (id, fact, file_path, chain, via, module) with the best entity for its chain: t_*.
+def resolved(wanted: DataFrame, known: DataFrame, own: bool = True) -> DataFrame:
+    """wanted (id, fact, file_path, chain, via, module) with the best entity for its chain: t_*.  Without own, names that
+    no entity of the same file has: file_path is not read then.
 
     In ranks: the same file; the module that the first part was imported from, as a name in it or as the module itself; the
     qualified name anywhere; for a plain name the last function of that name if it is called, else the first entity of
@@ -72,7 +75,7 @@ def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
     single = e.where("t_kind = 'Method' and t_parent <> ''").groupBy(F.col("t_name").alias("_name")).agg(F.countDistinct("t_parent").alias("k"), F.min_by(whole, place).alias("one")).where("k = 1").select("_name", "one.*")
     functions = one(e.where("t_kind = 'Method' and t_parent = ''"), "t_name", F.max_by)
     ranks = [
-        wanted.join(e, (F.col("chain") == F.col("t_qualified")) & (F.col("file_path") == F.col("t_file"))),
+        *([wanted.join(e, (F.col("chain") == F.col("t_qualified")) & (F.col("file_path") == F.col("t_file")))] if own else []),
         by_name.drop("_q", "_holder", "_last", "_path", "_end"),
         by_module.drop("_q", "_last", "_path", "_end"),
         wanted.join(one(e, "t_qualified", F.min_by), F.col("chain") == F.col("_name")).where(~(plain & (F.col("fact") == "call"))).drop("_name"),
@@ -88,23 +91,39 @@ def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "_rank")
 
 
+def elsewhere(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """wanted (fact, chain, module and more) that entities of other files answer, with t_kind and t_key.
+
+    Apart from its own file an answer depends on the name, the module and whether it is a call, so each such name is
+    resolved once, however many files hold it, and only entities of these names take part.
+    """
+    call = F.when(F.col("fact") == "call", "call").otherwise("name")
+    asked = cut(wanted.select(call.alias("fact"), "chain", "module").distinct())
+    few = (lambda df: F.broadcast(df)) if asked.count() <= FEW else (lambda df: df)
+    last = lambda c, cut_at: F.element_at(F.split(c, cut_at), -1)
+    names = asked.select(F.explode(F.array(last("chain", r"\."), last("module", "/"))).alias("name")).distinct()
+    known = cut(entities(facts).select("file_path", "seq", "kind", "name", "parent_name", "qualified", "key").join(few(names), "name", "left_semi"))
+    hits = resolved(asked.select(F.struct("fact", "chain", "module").alias("id"), "fact", "chain", "module"), known, own=False)
+    found = few(hits.select(F.col("fact").alias("_call"), F.col("chain").alias("_chain"), F.col("module").alias("_module"), "t_kind", "t_key"))
+    same = (call == F.col("_call")) & (F.col("chain") == F.col("_chain")) & F.col("module").eqNullSafe(F.col("_module"))
+    return wanted.join(found, same).drop("_call", "_chain", "_module")
+
+
 def relations(facts: DataFrame) -> DataFrame:
     """source_key, target_key, relation_type, span, metadata fields; one relation a pair, imports apart."""
-    known = cut(entities(facts))
-    wanted = facts.where(F.col("fact").isin("import", "base", "call", "make", "param")).select(
-        F.concat_ws("#", "file_path", F.lpad("seq", 9, "0")).alias("id"), "fact", "file_path", "seq", "scope", "name", "via", "module", "flag", "line", "col", "list",
+    own = lambda end: F.when(F.col(f"{end}_kind").isNotNull(), ids.entity_key(f"{end}_kind", "file_path", f"{end}_parent", f"{end}_name"))
+    wanted = facts.where(F.col("fact").isin("import", "base", "call", "make", "param")).where("fact = 'import' or s_kind is not null").select(
+        "fact", "file_path", "seq", "name", "module", "flag", "line", "col", "list", own("s").alias("source_key"), "t_kind", own("t").alias("t_key"),
         F.when(F.col("fact") == "import", F.col("name")).otherwise(F.regexp_replace("chain", r"\[.*", "")).alias("chain"),
     )
-    hits = cut(resolved(wanted, known))
-    callers = known.select("file_path", F.col("qualified").alias("scope"), F.col("key").alias("source_key"), F.col("seq").alias("s_seq"))
-    first = callers.groupBy("file_path", "scope").agg(F.min_by("source_key", "s_seq").alias("source_key"))
+    hits = wanted.where("t_key is not null").unionByName(elsewhere(wanted.where("t_key is null").drop("t_kind", "t_key"), facts))
     kind = (
         F.when(F.col("fact") == "base", "INHERITS").when(F.col("fact") == "make", "INSTANTIATES").when(F.col("fact") == "call", "CALLS").otherwise("USES")
     )
     none = lambda t: F.lit(None).cast(t)
     is_call, is_super = F.col("fact") == "call", (F.col("fact") == "call") & F.col("flag")
     inner = (
-        hits.where(F.col("fact") != "import").join(first, ["file_path", "scope"])
+        hits.where(F.col("fact") != "import")
         .withColumn("relation_type", kind)
         .where((~F.col("fact").isin("make", "param", "base")) | (F.col("t_kind") == "Class"))
         .select(
@@ -115,11 +134,10 @@ def relations(facts: DataFrame) -> DataFrame:
             F.when(F.col("fact") == "param", True).alias("is_param_type"),
         )
     )
-    variables = known.where("kind = 'Variable'").groupBy("file_path", "name").agg(F.max("key").alias("target_key"))
-    seen = facts.where(F.col("fact") == "global").select("file_path", "scope", "name", "flag", "line", "col", "seq")
-    uses = seen.join(variables, ["file_path", "name"]).join(first, ["file_path", "scope"]).select(
-        "source_key", "target_key", F.when(F.col("flag"), "MODIFIES").otherwise("USES").alias("relation_type"), F.lit("Variable").alias("target_kind"),
-        "file_path", "seq", F.array("line", "col").alias("span"),
+    seen = facts.where("fact = 'global' and s_kind is not null and t_kind is not null")
+    uses = seen.select(
+        own("s").alias("source_key"), own("t").alias("target_key"), F.when(F.col("flag"), "MODIFIES").otherwise("USES").alias("relation_type"),
+        F.lit("Variable").alias("target_kind"), "file_path", "seq", F.array("line", "col").alias("span"),
     )
     every = inner.withColumn("phase", F.when(F.col("is_param_type"), 6).otherwise(_phase())).unionByName(uses.withColumn("phase", F.lit(PHASES["GLOBAL"])), allowMissingColumns=True)
     single = rules.one_per_pair(every.where("source_key <> target_key"))
@@ -153,7 +171,7 @@ def edges(rels: DataFrame, node_rows: DataFrame) -> DataFrame:
 
 def snapshot(files: DataFrame, tenant: str, repo: str, commit: str) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of Python files (file_path, content)."""
-    found = cut(read_facts(files))
+    found = stored(read_facts(files))
     node_rows = nodes(found, tenant, repo, commit)
     return node_rows, edges(relations(found), node_rows)
 
