@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Batch sizes of scoring and tagging, the top share, and the range of a score.
 SCORE_BATCH, TAG_BATCH, TOP_SHARE, LOWEST, HIGHEST = 10, 100, 0.2, 1, 100
+#: So many nodes at most are broadcast to the edges that hold them.
+MANY = 1_000_000
 
 
 def top_share(df: DataFrame, score: str, share: float = TOP_SHARE, by: list[str] | None = None) -> DataFrame:
@@ -83,9 +85,10 @@ def keyword_tags(name: Column | str) -> Column:
 
 
 def members(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
-    """owner, id: what owners hold over has_* edges; two equi joins."""
+    """owner, id: what owners hold over has_* edges; one equi join, in which up to MANY nodes go to the edges."""
     held = edges.where(F.col("relation_type").isin(*relations)).select(F.col("source_id").alias("owner"), F.col("target_id").alias("id"))
-    return held.join(nodes.where(F.col("type").isin(*kinds)), "id")
+    own = nodes.where(F.col("type").isin(*kinds))
+    return held.join(F.broadcast(own) if own.limit(MANY + 1).count() <= MANY else own, "id")
 
 
 def staged_importance(nodes: DataFrame, edges: DataFrame, score: Column) -> DataFrame:
