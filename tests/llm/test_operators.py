@@ -3,6 +3,7 @@ whose names clash with internal ones."""
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -289,6 +290,51 @@ def test_op4(docs, spark, none):
     assert {x.score for x in toxicity.op4_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_op4_learns_from_every_labelled_row(spark):
+    """Each toxic word comes in two labelled rows only, so a sample of the rows misses some."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    vile = [word() for _ in range(8000)]
+    rows = [(i, f"{word()} {vile[i // 2] if i < 16_000 else word()}") for i in range(26_000)]
+    labels = spark.createDataFrame([(i, int(i < 16_000)) for i, _ in rows], "doc_id long, toxic int")
+    taught = [v for j, v in enumerate(vile) if all(zlib.crc32(str(i).encode()) % 3 != 1 for i in (2 * j, 2 * j + 1))][:600]
+    rows += [(10**6 + i, v) for i, v in enumerate(taught)] + [(2 * 10**6 + i, word()) for i in range(600)]
+    got = {x.doc_id: x.score for x in toxicity.op4_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert min(got[10**6 + i] for i in range(600)) > np.quantile([got[2 * 10**6 + i] for i in range(600)], 0.95)
+
+
+def test_op4_evidence_is_that_of_plain_kneser_ney():
+    """Bucket by bucket, against probabilities worked out from the definition."""
+    r = random.Random(3)
+    words = [["".join(r.choice("abcé") for _ in range(r.randrange(1, 12))).encode() for _ in range(60)] for _ in range(2)]
+    seen = [Counter((b"\0" * 6 + bytes(w) + b" ")[i : i + 7] for w in x for i in range(len(w) + 1)) for x in words]
+    below, shared = set(seen[0]) | set(seen[1]), {}
+    for order in range(6, 0, -1):
+        shared[order] = Counter(g[1:] for g in below)
+        below = set(shared[order])
+
+    def step(counts, gram, back):
+        of = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        return (max(counts[gram] - 0.75, 0) + 0.75 * len(of) * back) / sum(of) if of else back
+
+    def logp(c, gram):
+        p = 1 / 257
+        for order in range(1, 7):
+            p = step(shared[order], gram[-order:], p)
+        return math.log(step(seen[c], gram, p))
+
+    code = lambda g: sum((b + 1 if b else 0) * 257 ** (len(g) - 1 - i) for i, b in enumerate(g))
+    want = {code(g): logp(1, g) - logp(0, g) for g in set(seen[0]) | set(seen[1])}
+    gram = np.array(sorted(want), np.uint64)
+    plain, toxic = (np.array([{code(g): n for g, n in seen[c].items()}.get(k, 0) for k in gram.tolist()]) for c in (0, 1))
+    pairs = toxicity.pair_probabilities(np.unique(gram % np.uint64(257**3)))
+    pair, found = gram // np.uint64(257) % np.uint64(257**2), {}
+    for k in np.unique(pair):
+        codes, value = toxicity.evidence_of(gram[pair == k], plain[pair == k], toxic[pair == k], pairs)
+        found |= dict(zip(codes.tolist(), value.tolist()))
+    assert all(abs(found[k] - v) < 1e-9 for k, v in want.items()) and len(found) > len(want)
+
+
 def test_op5(docs, none, spark):
     rows = reshard.op5_reshard(docs).collect()
     by = defaultdict(list)
