@@ -290,6 +290,21 @@ def test_op4(docs, spark, none):
     assert {x.score for x in toxicity.op4_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_op1_sorts_only_stretches_that_may_share_a_window():
+    r = random.Random(8)
+    line = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, phrase = line(150), line(60)
+    texts = [line(2000) for _ in range(20)] + [line(400) + passage + line(400) for _ in range(5)] + [line(300) + phrase + line(300) for _ in range(5)]
+    texts += [line(90) * 3, "z" * 700, "xy" * 180, line(300) + (twice := line(130)) + line(30) + twice]
+    raw, _, at, size, anchor, again = suffix.stretches([t.encode() for t in texts], 100)
+    strings = sorted({(raw[a : a + n], int(t)) for a, n, t in zip(at.tolist(), size.tolist(), suffix.tags(anchor, again))})
+    kept = suffix.may_share(np.array([t for _, t in strings], np.uint32))
+    own, _, window = suffix.repeated_in([x for x, _ in strings])
+    assert kept[own].all() and kept.mean() < 0.2
+    own2, _, window2 = suffix.repeated_in([x for (x, _), k in zip(strings, kept) if k])
+    assert len(own2) == len(own) > 100 and len(np.unique(window2)) == len(np.unique(window))
+
+
 def test_op4_learns_from_every_labelled_row(spark):
     """Each toxic word comes in two labelled rows only, so a sample of the rows misses some."""
     r = random.Random(12)

@@ -9,7 +9,8 @@ Which texts share a 100-byte string is found in two steps.
    neighbouring documents are sent once.  Stretches of an anchor that HEAVY or more have, such as a common line's, are
    cut into CUTS pieces by how far the anchor lies behind a window's start, and dealt out by what all windows of a piece
    share (91 bytes of 100): equal windows still meet, and only strings as long as that can fill a bucket.
-2. Suffix array.  A bucket's distinct stretches form one text.  Its suffixes are grouped by their Lyndon prefixes,
+2. Suffix array.  A bucket's distinct stretches form one text, but for those whose anchor no other one has (such as a
+   passage of which there are only whole copies): unless they hold it twice, none of their windows is repeated.  Its suffixes are grouped by their Lyndon prefixes,
    using next-smaller pointers (the mirror image of previous-smaller ones); the groups' order is the order of the
    prefixes.  Then one scan from the smallest suffix on emits each group in order: a suffix follows its group's
    start by the rank of the suffix behind its Lyndon prefix, which is always emitted earlier.  Nothing is renamed.
@@ -263,6 +264,17 @@ def repeated_in(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return own[some], order[some] - starts[own[some]], np.cumsum(~link[:-1])[some]
 
 
+def tags(anchor: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """31 bits of each stretch's anchor, or of the key of a piece, above whether its windows may repeat each other."""
+    return (anchor >> U64(33) << U64(1)).astype(np.uint32) | again
+
+
+def may_share(tag: np.ndarray) -> np.ndarray:
+    """Which of some distinct stretches may hold a window twice, or one that another of them holds."""
+    _, inverse, n = np.unique(tag >> 1, return_inverse=True, return_counts=True)
+    return (n[inverse] > 1) | (tag & 1 == 1)
+
+
 def dealt(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """bucket and packed columns: the distinct stretches of each group whose windows may repeat, dealt out to buckets.
 
@@ -271,21 +283,21 @@ def dealt(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, buckets = slices_for(total // 40), max(16, total // BUCKET)
     found = repeated(docs, lambda batch: _anchors(text_bytes(batch.column("text")), length), slices, HEAVY)
-    kinds = {"bucket": "long", **dict.fromkeys(("digest", "size", "bytes", "id", "rid", "start", "sure_rid", "sure_start", "sure_size"), "binary")}
+    kinds = {"bucket": "long", **dict.fromkeys(("digest", "size", "tag", "bytes", "id", "rid", "start", "sure_rid", "sure_start", "sure_size"), "binary")}
 
     def candidates(joined: pa.Table, found: pa.Table) -> pa.Table:
         batch, rows = texts_of(joined), []
         texts = text_bytes(batch.column("text"))
-        raw, doc, at, size, anchor, _ = stretches(texts, length)
+        raw, doc, at, size, anchor, again = stretches(texts, length)
         keep = np.flatnonzero(may_repeat(anchor, slices, found))
         if len(keep):
-            doc, at, size, anchor = doc[keep], at[keep], size[keep], anchor[keep]
+            doc, at, size, anchor, again = doc[keep], at[keep], size[keep], anchor[keep], again[keep]
             heavy = may_repeat(anchor, slices, found, "heavy")
             if heavy.any():
                 h, light = np.flatnonzero(heavy), ~heavy
                 own, offset, n, key = cut_heavy([raw[a : a + s] for a, s in zip(at[h].tolist(), size[h].tolist())], anchor[h], length)
                 doc, at = np.append(doc[light], doc[h][own]), np.append(at[light], at[h][own] + offset)
-                size, anchor = np.append(size[light], n), np.append(anchor[light], key)
+                size, anchor, again = np.append(size[light], n), np.append(anchor[light], key), np.append(again[light], again[h][own])
             ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()[doc]
             rid = batch.column("rid").to_numpy()[doc]
             start = at - sequence_starts(np.fromiter(map(len, texts), np.int64, len(texts)))[doc]
@@ -297,12 +309,13 @@ def dealt(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             new[1:] = (d[1:] != d[:-1]).any(1)
             first, sure = order[new], order[~new]  # later equal stretches of a group are decided
             bucket = (anchor[first] % U64(buckets)).astype(np.int64)
+            tag = tags(anchor, again)
             by = np.argsort(bucket, kind="stable")
             first, bucket = first[by], bucket[by]
             some, cuts = np.unique(bucket, return_index=True)
             for k, (b, f) in enumerate(zip(some.tolist(), np.split(first, cuts[1:]))):
                 s = sure[k :: len(some)]  # decided ones only pass through: dealt evenly
-                rows.append((b, digest[f].tobytes(), size[f].astype(np.uint32).tobytes(), b"".join([pieces[i] for i in f.tolist()]),
+                rows.append((b, digest[f].tobytes(), size[f].astype(np.uint32).tobytes(), tag[f].tobytes(), b"".join([pieces[i] for i in f.tolist()]),
                              ids[f].tobytes(), rid[f].tobytes(), start[f].tobytes(), rid[s].tobytes(), start[s].tobytes(), size[s].astype(np.uint32).tobytes()))
         columns = list(zip(*rows)) or [()] * len(kinds)
         return pa.table([pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(columns, kinds.values())], list(kinds))
@@ -329,6 +342,7 @@ def repeated_bytes(docs: DataFrame, texts: DataFrame, length: int, shift: int) -
         new[1:] = (d[1:] != d[:-1]).any(1)
         first, later = order[new], order[~new]
         marks = [(rid[later], start[later], size[later]), tuple(column(f"sure_{c}", k).astype(np.int64) for c, k in (("rid", np.int64), ("start", np.int64), ("size", np.uint32)))]
+        first = first[may_share(column("tag", np.uint32)[first])]
         if len(first):
             own, at, window = repeated_in([data[offset[i] : offset[i] + size[i]] for i in first.tolist()], length)
             own = first[own]
