@@ -40,6 +40,8 @@ from .sketch import packed, unpacked
 LOWER, UPPER, LEAST_SPREAD, SCATTER = 6.0, 4.5, 0.02, 0.7
 #: Bytes of text that a bucket of word pairs stands for, and bytes of text whose pairs are sent together, about.
 BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 32 << 20
+#: Tokens of a chunk that are sorted at once, about.
+SORTED = 1 << 18
 #: Bits of a word's hash beside those of the word before it, and how many of them tell words after an uncommon one apart;
 #: a word is common if it comes more than 1/COMMON of a bucket's words; steps of a nat in which a pair's spelling travels.
 WORD_BITS, FEW_BITS, COMMON, STEPS = 28, 20, 64, 1
@@ -254,40 +256,41 @@ class Tokens:
             self.half[some] = (mix64(least) & U64(1)).astype(np.int64)
 
 
-    def slim(self) -> Tokens:
-        """Without the places of the words."""
-        del self.starts, self.ends
-        return self
+class Keys:
+    """A batch's tokens as buckets hold them: their keys in the order of halves and buckets, the text and the steps of
+    spelling of each, and which heavy histories each half has."""
 
-
-class Pairs:
-    """Word pairs in the order in which buckets hold them, each once; a heavy history asks all of its buckets."""
-
-    def __init__(self, history: np.ndarray, word: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], buckets: int):
+    def __init__(self, tokens: Tokens, heavy: tuple[np.ndarray, np.ndarray], buckets: int, steps: np.ndarray | None = None):
         names, split = heavy
-        low, part = history & U64(0xFFFFFFFF), np.zeros(len(word), U64)
-        more, more_at, hot = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+        side, word = tokens.half[tokens.row], tokens.word
+        bucket, bits = tokens.history & U64(0xFFFFFFFF), np.full(len(word), 64 - FEW_BITS, np.uint8)
+        self.half, self.heavy = tokens.half, np.zeros((2, len(names)), bool)
         if len(names):
-            at = np.minimum(np.searchsorted(names, history), len(names) - 1)
-            hot = np.flatnonzero(names[at] == history)
+            at = np.minimum(np.searchsorted(names, tokens.history), len(names) - 1)
+            hot = np.flatnonzero(names[at] == tokens.history)
             at = at[hot]
-            part[hot] = (word[hot] & U64(0xFFFF)) % split[at]
-            here = np.flatnonzero((np.bincount(at, minlength=len(names)) > 0) & (split > 1))
-            more = np.repeat(names[here], split[here].astype(np.int64))
-            more_at = np.concatenate([*(np.arange(int(k)) for k in split[here]), np.empty(0, np.int64)]).astype(np.int64)
-        bucket = ((low + part) % U64(buckets)).astype(np.int64)
-        bucket = np.concatenate((bucket, ((more & U64(0xFFFFFFFF)).astype(np.int64) + more_at) % buckets))
-        key = np.concatenate((history, more)) >> U64(32) << U64(WORD_BITS)
-        bits = np.full(len(word), 64 - FEW_BITS, np.uint8)
-        bits[hot] = 64 - WORD_BITS
-        key[: len(word)] |= word >> bits
+            bucket[hot] += (word[hot] & U64(0xFFFF)) % split[at]
+            bits[hot] = 64 - WORD_BITS
+            self.heavy[side[hot], at] = True
+        bucket = (bucket % U64(buckets)).astype(np.int64) + side * buckets
+        bucket = bucket.astype(np.uint16) if 2 * buckets <= 1 << 16 else bucket
+        order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[order]  # those of the second half follow those of the first
+        self.key = (tokens.history >> U64(32) << U64(WORD_BITS) | word >> bits)[order]
+        self.row = tokens.row[order]
+        self.steps = None if steps is None else steps[order]
+
+
+class Pairs:
+    """Word pairs in the order in which buckets hold them, each once; the first `real` keys are occurrences."""
+
+    def __init__(self, key: np.ndarray, bucket: np.ndarray, real: int):
         order = np.argsort(key)
-        narrow = bucket.astype(np.uint16) if buckets < 1 << 16 else bucket
-        order = order[np.argsort(narrow[order], kind="stable")]
-        key, bucket, real = key[order], bucket[order], order < len(word)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        key, bucket, real = key[order], bucket[order], order < real
         first = np.flatnonzero(_changes(key, bucket))
         self.places = order[real]  # occurrences by pair
-        self.times = np.add.reduceat(real.astype(np.int64), first)
+        self.times = np.add.reduceat(real, first, dtype=np.uint32)
         self.example = order[first]  # an occurrence of each pair, or beyond all of them
         self.key, self.bucket = key[first], bucket[first]
         self.new = _changes(self.key >> U64(WORD_BITS), self.bucket)
@@ -298,6 +301,29 @@ class Pairs:
             yield int(self.bucket[a]), slice(a, b)
 
 
+def stretches(held: list[Keys], half: int, heavy: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[tuple[Pairs, list[tuple[Keys, slice]]]]:
+    """The pairs of one half, some neighbouring buckets at a time, of about SORTED tokens, and where these tokens are held;
+    a heavy history asks all of its buckets."""
+    names, split = heavy
+    here = np.flatnonzero(np.any([k.heavy[half] for k in held], axis=0) & (split > 1))
+    more = np.repeat(names[here], split[here].astype(np.int64))
+    more_at = np.concatenate([*(np.arange(int(k)) for k in split[here]), np.empty(0, np.int64)]).astype(np.int64)
+    more_at = ((more & U64(0xFFFFFFFF)).astype(np.int64) + more_at) % buckets
+    more = more >> U64(32) << U64(WORD_BITS)
+    own = [slice(*np.searchsorted(k.bucket, [half * buckets, (half + 1) * buckets]).tolist()) for k in held]
+    n = np.bincount(more_at, minlength=buckets)
+    for k, s in zip(held, own):
+        n += np.bincount(k.bucket[s].astype(np.int64) - half * buckets, minlength=buckets)
+    edges = np.flatnonzero(_changes((np.cumsum(n) - n) // SORTED)).tolist()
+    for low, high in zip(edges, [*edges[1:], buckets]):
+        where = [(k, slice(*np.searchsorted(k.bucket, [half * buckets + low, half * buckets + high]).tolist())) for k in held]
+        asked = (more_at >= low) & (more_at < high)
+        key = np.concatenate([*(k.key[s] for k, s in where), more[asked]])
+        if len(key):
+            bucket = np.concatenate([*(k.bucket[s] - k.bucket.dtype.type(half * buckets) for k, s in where), more_at[asked].astype(held[0].bucket.dtype)])
+            yield Pairs(key, bucket, len(key) - int(asked.sum())), where
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, list]]:
     """read(batch) of enough batches for CHUNK_BYTES of text, under a number that the same scan gives again."""
     held, size, number, part = [], 0, 0, 0
@@ -345,10 +371,10 @@ def answers(halves: list[list[np.ndarray]], times: list[list[np.ndarray]]) -> li
 def gains(count, total, saved, discounts, history, spelled) -> np.ndarray:
     """Log-probability of each pair above that of its spelling.
 
-    count: of each pair; history: its place in total and saved, what its pairs leave to spelling; discounts: for each
-    pair, of counts 1, 2 and 3 or more.
+    count: of each pair; history: its place in total and saved, what its pairs leave to spelling; discounts: of counts 1,
+    2 and 3 or more.
     """
-    cut = np.where(count > 0, np.take_along_axis(discounts, np.clip(count, 1, 3)[:, None].astype(np.int64) - 1, 1)[:, 0], 0.0)
+    cut = np.where(count > 0, discounts[np.clip(count, 1, 3) - 1], 0.0)
     t = np.maximum(total[history], 1)
     with np.errstate(divide="ignore"):
         seen, back = np.log(np.maximum(count - cut, 0) / t), np.log(saved[history] / t)
@@ -374,26 +400,15 @@ def measured(docs: DataFrame) -> DataFrame:
         columns = list(zip(*rows)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    def join(parts: list[Tokens], half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """History, word and text, numbered through the parts, of all tokens in one half."""
-        base = sequence_starts(np.array([len(p.half) for p in parts])).astype(np.int32)
-        mine = [np.flatnonzero(p.half[p.row] == half) for p in parts]
-        pick = lambda f: np.concatenate([f(p, m, b) for p, m, b in zip(parts, mine, base)])
-        return pick(lambda p, m, _: p.history[m]), pick(lambda p, m, _: p.word[m]), pick(lambda p, m, b: p.row[m] + b)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(batch: pa.RecordBatch) -> Tokens:
+        def read(batch: pa.RecordBatch) -> Keys:
             batch, langs = _by_lang(batch)
-            return Tokens(*text_array(batch.column("text")), langs).slim()
+            return Keys(Tokens(*text_array(batch.column("text")), langs), heavy.value, buckets)
 
         for chunk, held in _chunks(batches, read):
             for half in (0, 1):
-                history, word, _ = join(held, half)
-                if len(word):
-                    p = Pairs(history, word, heavy.value, buckets)
-                    yield table([(chunk | half, b, packed(np.diff(p.key[s], prepend=U64(0)), p.times[s].astype(np.uint32)), None, None, None) for b, s in p.by_bucket()])
-                    del p
-                del history, word
+                for p, _ in stretches(held, half, heavy.value, buckets):
+                    yield table([(chunk | half, b, packed(np.diff(p.key[s], prepend=U64(0)), p.times[s]), None, None, None) for b, s in p.by_bucket()])
             held.clear()  # before the next chunk is read
 
     def answer(group: pa.Table) -> pa.Table:
@@ -412,7 +427,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct()
 
-        def read(batch: pa.RecordBatch) -> tuple[Tokens, np.ndarray, pa.RecordBatch]:
+        def read(batch: pa.RecordBatch) -> tuple[Keys, pa.RecordBatch]:
             batch, langs = _by_lang(batch)
             data, cuts = text_array(batch.column("text"))
             tokens, n = Tokens(data, cuts, langs), len(cuts) - 1
@@ -438,13 +453,12 @@ def measured(docs: DataFrame) -> DataFrame:
             words, lines, repeats = base_counts(data, cuts)
             columns = (batch.column("doc_id"), batch.column("lang"), words, sums(_CHARACTER[data]), sums(_SYMBOL[data]), lines, repeats, np.diff(cuts), between, spelling)
             found = pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, row_type)], schema=row_type)
-            return tokens.slim(), np.clip(np.rint(-spelled * STEPS), 0, 255).astype(np.uint8), found
+            return Keys(tokens, heavy.value, buckets, np.clip(np.rint(-spelled * STEPS), 0, 255).astype(np.uint8)), found
 
         for chunk, held in _chunks(batches, read):
-            parts = [x[0] for x in held]
-            docs = pa.Table.from_batches([x[2] for x in held]).combine_chunks()
-            halves, steps = np.concatenate([p.half for p in parts]), np.concatenate([x[1] for x in held])
-            side = np.concatenate([p.half[p.row] for p in parts])
+            docs = pa.Table.from_batches([x[1] for x in held]).combine_chunks()
+            held[:] = [x[0] for x in held]
+            halves, base = np.concatenate([k.half for k in held]), sequence_starts(np.array([len(k.half) for k in held]))
             for half in (0, 1):
                 mine = np.flatnonzero(halves == half)
                 if not len(mine):
@@ -452,22 +466,25 @@ def measured(docs: DataFrame) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, row_type, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_table(docs.take(pa.array(mine)))
-                history, word, row = join(parts, half)
-                if not len(word):
+                number, found = np.cumsum(halves == half, dtype=np.uint32) - np.uint32(1), []  # number: of a text in its half
+                at = {id(k): number[a:] for k, a in zip(held, base.tolist())}
+                for p, where in stretches(held, half, heavy.value, buckets):
+                    place = np.concatenate([at[id(k)][k.row[s]] for k, s in where])
+                    steps = np.concatenate([*(k.steps[s] for k, s in where), np.zeros(1, np.uint8)])
+                    found.append((p.times, p.new.astype(np.uint8), steps[np.minimum(p.example, len(place))], place[p.places], p.key[p.new] >> U64(WORD_BITS)))
+                if not found:
                     yield table([(chunk | half, -1, None, None, sink.getvalue().to_pybytes(), None)])
                     continue
-                p = Pairs(history, word, heavy.value, buckets)
-                spelled = np.append(steps[side == half], np.uint8(0))[np.minimum(p.example, len(word))]
-                place = np.searchsorted(mine, row).astype(np.uint32)[p.places]
+                times, new, spelled, place, names = (np.concatenate(x) for x in zip(*found))
+                del found
                 # histories that lie in several buckets, by their places among all histories of the chunk
-                names = p.key[p.new] >> U64(WORD_BITS)
                 kinds, which, n = np.unique(names, return_inverse=True, return_counts=True)
                 several = np.flatnonzero(n[which] > 1) if len(heavy.value[0]) else np.empty(0, np.int64)
-                yield table([(chunk | half, -1, packed(p.times.astype(np.uint32), p.new.astype(np.uint8), spelled), packed(place), sink.getvalue().to_pybytes(),
+                yield table([(chunk | half, -1, packed(times, new, spelled), packed(place), sink.getvalue().to_pybytes(),
                               packed(several.astype(np.uint32), which[several].astype(np.uint32)))])
-                del p, history, word, row, place, names, kinds, which, spelled
+                del times, new, spelled, place, names, kinds, which, n, several
             held.clear()  # before the next chunk is read
-            del parts, docs, steps, side
+            del docs
 
     def gather(group: pa.Table) -> pa.Table:
         rows = sorted(group.select(["bucket", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["bucket"])
@@ -489,8 +506,10 @@ def measured(docs: DataFrame) -> DataFrame:
             if len(several):
                 for x in (total, saved):
                     x[several] = np.bincount(which, x[several])[which]
-            each = np.repeat(np.array(cuts), list(map(len, counts)), axis=0)
-            gain = gains(np.concatenate(counts).astype(np.int64), total, saved, each, np.cumsum(new, dtype=np.int64) - 1, spelled / -STEPS)
+            history, at, gain = np.cumsum(new, dtype=np.int32) - 1, 0, np.empty(len(times))
+            for n, d in zip(counts, cuts):
+                s = slice(at, at := at + len(n))
+                gain[s] = gains(n.astype(np.int64), total, saved, d, history[s], spelled[s] / -STEPS)
             logs += np.bincount(place, np.repeat(gain, times), len(logs))
         logs = -logs / (out["n_bytes"].to_numpy() + 1)
         return out.set_column(out.schema.get_field_index("log_perplexity"), "log_perplexity", pa.array(logs))
